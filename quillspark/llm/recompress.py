@@ -16,6 +16,8 @@ from quillspark.functions.arrowtext import WORD_BYTE, mix64, span_hashes
 
 #: Rounds of run and pair naming, and the length in bytes above which no pair is joined.
 ROUNDS, CAP = 6, 24
+#: Of so many neighbouring seeds one is kept.
+AMONG = 3
 #: Words longer than this are broken into single bytes, so that a long unbroken text is parsed too.
 LONG_TOKEN = 32
 
@@ -69,10 +71,12 @@ def rounds(starts: np.ndarray, sizes: np.ndarray, names: np.ndarray, rows: np.nd
     return starts, sizes, names, rows
 
 
-def seeds(starts: np.ndarray, sizes: np.ndarray, names: np.ndarray, rows: np.ndarray, least: int):
-    """Each shortest run of neighbouring symbols of ``least`` bytes or more: start byte, size, name, row.
+def seeds(starts: np.ndarray, sizes: np.ndarray, names: np.ndarray, rows: np.ndarray, least: int, among: int = AMONG):
+    """Shortest runs of neighbouring symbols of ``least`` bytes or more: start byte, size, name, row.
 
-    A run ends with the row; which symbols it has depends on nothing but the symbols themselves.
+    Of every ``among`` neighbouring runs the one with the smallest name is kept, so about two in
+    ``among + 1`` remain.  Which run is kept depends on nothing but the symbols, so two texts that
+    share ``among`` neighbouring runs keep the same one of them.
     """
     n = len(names)
     ends = starts + sizes
@@ -85,4 +89,16 @@ def seeds(starts: np.ndarray, sizes: np.ndarray, names: np.ndarray, rows: np.nda
     inverse = np.uint64(pow(int(_A), -1, 1 << 64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(names * powers[:n])])
     name = (sums[last + 1] - sums[first]) * np.cumprod(np.full(n, inverse, np.uint64))[first] if n else names
-    return starts[first], ends[last] - starts[first], mix64(name), rows[first]
+    name, row, size, at = mix64(name), rows[first], ends[last] - starts[first], starts[first]
+    m = len(name) - among + 1
+    if among > 1 and m > 0:
+        best = np.arange(m)
+        for j in range(1, among):
+            best = np.where(name[j : j + m] < name[best], np.arange(j, j + m), best)
+        whole = row[:m] == row[among - 1 :]
+        keep = np.zeros(len(name), bool)
+        keep[best[whole]] = True
+        few = np.bincount(row) < among  # a text with fewer runs keeps them all
+        keep |= few[row]
+        at, size, name, row = at[keep], size[keep], name[keep], row[keep]
+    return at, size, name, row

@@ -23,9 +23,9 @@ from quillspark.llm import recompress
 from quillspark.session import read, table
 
 #: Characters that make a case, and bytes of a seed.
-LEAST, SEED = 200, 80
+LEAST, SEED = 200, 64
 #: Distance between the windows of a seed.
-STEP = 16
+STEP = 40
 #: Rows (8 bytes each) up to which the list of texts is broadcast; above, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -111,10 +111,8 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
     per_doc = table(found.join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "size")).alias("seeds")), "span-shared")
     wanted = per_doc if per_doc.count() > BROADCAST_ROWS // 50 else F.broadcast(per_doc)
-    windows = texts.join(wanted, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_window_rows(least, step), "w bigint, doc_id bigint, pos int, before string, after string")
+    windows = texts.join(wanted, "doc_id").mapInArrow(_window_rows(least, step), "w bigint, doc_id bigint, pos int, before string, after string")
     windows = table(windows, "span-windows")
-    twice = windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w")
-    windows = windows.join(twice, "w")
     a = windows.select("w", F.col("doc_id").alias("a"), F.col("pos").alias("pa"), F.col("before").alias("ba"), F.col("after").alias("fa"))
     b = windows.select("w", F.col("doc_id").alias("b"), F.col("pos").alias("pb"), F.col("before").alias("bb"), F.col("after").alias("fb"))
     met = a.join(b, "w").where("a < b")
