@@ -93,7 +93,7 @@ def _window_rows(least: int, step: int):
 def _common(a: str, b: str, step: int, end: bool) -> str:
     """SQL for the length of the common prefix (or suffix) of two strings of at most ``step`` characters."""
     cut = "right" if end else "left"
-    return f"size(filter(sequence(1, {step}), k -> k <= least(length({a}), length({b})) and {cut}({a}, k) = {cut}({b}, k)))"
+    return f"case when {a} = {b} then length({a}) else size(filter(sequence(1, {step}), k -> k <= least(length({a}), length({b})) and {cut}({a}, k) = {cut}({b}, k))) end"
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED, step: int = STEP, cls: DataFrame | None = None) -> DataFrame:
