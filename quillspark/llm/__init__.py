@@ -4,4 +4,4 @@ Nothing outside this package imports it; ``__spark_entry__`` adds its queries if
 """
 
 #: Modules whose QUERIES and ORACLE the entry point adds.
-MODULES = [f"quillspark.llm.{m}" for m in ("reading", "canon", "leaks", "spans", "cut", "consensus")]
+MODULES = [f"quillspark.llm.{m}" for m in ("reading", "canon", "leaks", "spans", "cut", "consensus", "proportions", "mixing")]
