@@ -47,7 +47,7 @@ def sliding_window_counts(spark, sf):
     return read(spark, sf, "events").groupBy(F.window("ts", "3 hours", "90 minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
-@query("pack_documents", "WITH RECURSIVE o AS (SELECT lang_, doc_id, n_chars AS n, row_number() OVER (PARTITION BY lang_ ORDER BY doc_id) AS p FROM (SELECT coalesce(lang, '?') AS lang_, * FROM documents) WHERE n_chars <= 4096), k AS (SELECT lang_, doc_id, n, p, 0::BIGINT AS pack, 0::BIGINT AS fill FROM o WHERE p = 1 UNION ALL SELECT o.lang_, o.doc_id, o.n, o.p, CASE WHEN k.fill + k.n + o.n > 4096 THEN k.pack + 1 ELSE k.pack END, CASE WHEN k.fill + k.n + o.n > 4096 THEN 0 ELSE k.fill + k.n END FROM k JOIN o ON o.lang_ = k.lang_ AND o.p = k.p + 1) SELECT lang_ AS lang, doc_id, n AS n_chars, pack, fill AS "at" FROM k QUALIFY pack < max(pack) OVER (PARTITION BY lang_)")
+@query("pack_documents", "WITH RECURSIVE o AS (SELECT lang_, doc_id, n_chars AS n, row_number() OVER (PARTITION BY lang_ ORDER BY doc_id) AS p FROM (SELECT coalesce(lang, '?') AS lang_, * FROM documents) WHERE n_chars <= 4096), k AS (SELECT lang_, doc_id, n, p, 0::BIGINT AS pack, 0::BIGINT AS fill FROM o WHERE p = 1 UNION ALL SELECT o.lang_, o.doc_id, o.n, o.p, CASE WHEN k.fill + k.n + o.n > 4096 THEN k.pack + 1 ELSE k.pack END, CASE WHEN k.fill + k.n + o.n > 4096 THEN 0 ELSE k.fill + k.n END FROM k JOIN o ON o.lang_ = k.lang_ AND o.p = k.p + 1) SELECT lang_ AS lang, doc_id, n AS n_chars, pack, fill AS \"at\" FROM k QUALIFY pack < max(pack) OVER (PARTITION BY lang_)")
 def pack_documents(spark, sf):
     d = read(spark, sf, "documents").withColumn("lang", F.coalesce("lang", F.lit("?")))
     return Q.pack(d, ["lang"], ["doc_id"], "doc_id", "n_chars", 4096)
