@@ -77,7 +77,7 @@ def stage_table(scores: DataFrame) -> DataFrame:
 def formatted(value: Column | str, digits: int = 6) -> Column:
     """A number with fixed decimals, '' for null."""
     v = F.col(value) if isinstance(value, str) else value
-    return F.coalesce(F.format_string(f"%.{digits}f", v.cast("double")), F.lit(""))
+    return F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v.cast("double"))).otherwise("")
 
 
 def attempts(df: DataFrame, *key: str, ok: Column) -> DataFrame:
