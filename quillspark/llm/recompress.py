@@ -18,6 +18,8 @@ from quillspark.functions.arrowtext import WORD_BYTE, mix64, span_hashes
 ROUNDS, CAP = 6, 24
 #: Of so many neighbouring seeds one is kept.
 AMONG = 3
+#: Runs of this many bytes mark where they begin and end: their own names tell only runs of one length apart.
+LONG_RUN = 32
 #: Words longer than this are broken into single bytes, so that a long unbroken text is parsed too.
 LONG_TOKEN = 32
 
@@ -45,7 +47,12 @@ def first_symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def rounds(starts: np.ndarray, sizes: np.ndarray, names: np.ndarray, rows: np.ndarray, many: int = ROUNDS, cap: int = CAP):
-    """Symbols after ``many`` rounds: start byte, size, name, row."""
+    """Symbols after ``many`` rounds: start byte, size, name, row; and the ends of long runs: byte, name, row.
+
+    Two texts may share the inside of a run whose length differs; its two ends are named by the
+    repeated symbol alone.
+    """
+    marks = ([starts[:0]], [names[:0]], [rows[:0]])
     for r in range(many):
         if len(names) < 2:
             break
@@ -58,6 +65,12 @@ def rounds(starts: np.ndarray, sizes: np.ndarray, names: np.ndarray, rows: np.nd
             run = count > 1
             name = names[at]
             name[run] = mix64(name[run] * _A + count[run].astype(np.uint64))
+            long = run & (total >= LONG_RUN)
+            if long.any():
+                for place, kind in ((starts[at][long], 1), (starts[at][long] + total[long], 2)):
+                    marks[0].append(place)
+                    marks[1].append(mix64(names[at][long] * _B + np.uint64(kind)))
+                    marks[2].append(rows[at][long])
             starts, sizes, names, rows = starts[at], total, name, rows[at]
         side = (mix64(names + np.uint64((r + 1) * int(_B) % (1 << 64))) >> np.uint64(63)).astype(bool)
         pair = side[:-1] & ~side[1:] & (rows[1:] == rows[:-1]) & (sizes[1:] + sizes[:-1] <= cap)
@@ -68,7 +81,7 @@ def rounds(starts: np.ndarray, sizes: np.ndarray, names: np.ndarray, rows: np.nd
         keep = np.ones(len(names), bool)
         keep[left + 1] = False
         starts, sizes, names, rows = starts[keep], sizes[keep], names[keep], rows[keep]
-    return starts, sizes, names, rows
+    return (starts, sizes, names, rows), tuple(np.concatenate(m) for m in marks)
 
 
 def seeds(starts: np.ndarray, sizes: np.ndarray, names: np.ndarray, rows: np.ndarray, least: int, among: int = AMONG):

@@ -47,7 +47,9 @@ def _seed_rows(seed: int):
                 data, offs = buffers(part)
                 starts, sizes, names = recompress.first_symbols(data, offs)
                 rows = np.searchsorted(offs, starts, side="right") - 1
-                where, size, name, row = recompress.seeds(*recompress.rounds(starts, sizes, names, rows), seed)
+                symbols, (mark, mark_name, mark_row) = recompress.rounds(starts, sizes, names, rows)
+                where, size, name, row = recompress.seeds(*symbols, seed)
+                where, size, name, row = np.append(where, mark), np.append(size, np.zeros(len(mark), size.dtype)), np.append(name, mark_name), np.append(row, mark_row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(name)), b.column(0).take(pa.array(at + row)), pa.array((where - offs[row]).astype(np.int32)), pa.array(size.astype(np.int32))], names=["h", "doc_id", "pos", "size"]
                 )
@@ -70,12 +72,13 @@ def _window_rows(least: int, step: int):
             for doc, text, seeds in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), b.column("seeds").to_pylist()):
                 raw = text.encode()
                 plain = len(raw) == len(text)
-                chars = None if plain else np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
+                # for each byte its character; one more for the end
+                chars = None if plain else np.append(np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1, len(text))
                 done = set()
                 for s in seeds:
                     p = s["pos"] if plain else int(chars[s["pos"]])
                     end = s["pos"] + s["size"]
-                    e = end if plain else int(chars[end - 1]) + 1
+                    e = end if plain else int(chars[end - 1]) + 1 if s["size"] else p
                     for w in range(p, max(-1, e - least - 1), -step):
                         if w in done or w + long > len(text):
                             continue
