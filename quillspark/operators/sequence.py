@@ -10,12 +10,51 @@ from pyspark.sql import functions as F
 
 
 def runs(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """(by..., run, value, start, end, n): maximal runs of equal values, 1-based places; null equals null."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    d = df.select(*by, *order, value, F.row_number().over(w).alias("_p"), F.lag(value).over(w).alias("_b"))
-    fresh = (F.col("_p") == 1) | ~F.col("_b").eqNullSafe(F.col(value))
-    d = d.withColumn("run", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(*by, "run").agg(F.first(value).alias(value), F.min("_p").alias("start"), F.max("_p").alias("end"), F.count("*").alias("n"))
+    """(by..., run, value, start, end, n): maximal runs of equal values, 1-based places; null equals null.
+
+    Rows are range-partitioned by group and order, so one group may lie in many partitions however
+    large it is.  Each partition streams its rows into local runs; what joins at the borders is told
+    from one row per partition and group.
+    """
+    from quillspark.session import table
+
+    keep = list(dict.fromkeys([*by, *order, value]))
+    d = df.select(*keep).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_part", F.spark_partition_id()).select("_part", *by, value)
+    types = {c: df.schema[c].dataType.simpleString() for c in keep}
+    schema = "_part int, " + ", ".join(f"{c} {types[c]}" for c in by) + f", _k bigint, _v {types[value]}, _n bigint"
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, k, last, n, part = None, 0, None, 0, 0
+        for pdf in batches:
+            done = []
+            values = pdf[value].astype(object).where(pdf[value].notna(), None)
+            for row, v in zip(pdf[["_part", *by]].itertuples(index=False, name=None), values):
+                g = tuple(None if x != x else x for x in row[1:])
+                if g != group or v != last:
+                    if n:
+                        done.append((part, *group, k, last, n))
+                    k = k + 1 if g == group else 0
+                    group, last, n, part = g, v, 0, row[0]
+                n += 1
+            if done:
+                yield pd.DataFrame(done, columns=["_part", *by, "_k", "_v", "_n"])
+        if n:
+            yield pd.DataFrame([(part, *group, k, last, n)], columns=["_part", *by, "_k", "_v", "_n"])
+
+    parts = table(d.mapInPandas(local, schema), "runs")
+    edges = parts.groupBy(*by, "_part").agg(F.count("*").alias("_c"), F.sum("_n").alias("_rows"), F.min_by("_v", "_k").alias("_first"), F.max_by("_v", "_k").alias("_last"))
+    w = Window.partitionBy(*by).orderBy("_part")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("_joins", (F.row_number().over(w) > 1) & F.lag("_last").over(w).eqNullSafe(F.col("_first")))
+    edges = edges.withColumn("_gain", F.col("_c") - F.col("_joins").cast("int"))
+    edges = edges.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_p"), "_joins", F.coalesce(F.sum("_gain").over(before), F.lit(0)).alias("_off"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_at"))
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inner = Window.partitionBy("_part", *by).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    placed = parts.join(edges, same).withColumn("_end", F.col("_at") + F.sum("_n").over(inner))
+    placed = placed.withColumn("run", F.col("_off") + F.col("_k") + 1 - F.col("_joins").cast("int"))
+    return placed.groupBy(*by, "run").agg(F.first("_v").alias(value), (F.min(F.col("_end") - F.col("_n")) + 1).alias("start"), F.max("_end").alias("end"), F.sum("_n").alias("n"))
 
 
 def run_length(values: Column, blank: Column) -> Column:
@@ -37,10 +76,18 @@ def segments(values: Column, size: int, most: int) -> Column:
     return F.when(n == 0, F.array().cast("array<array<double>>")).otherwise(F.transform(starts, lambda s: F.slice(values, s + 1, F.lit(size))))
 
 
-def chunk_number(order: list[str], size: int, by: list[str] | None = None) -> Column:
-    """0-based number of the fixed-size chunk that a row of an ordered list falls into."""
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    return F.floor((F.row_number().over(w) - 1) / size)
+def chunk_number(order: list[str], size: int, by: list[str]) -> Column:
+    """0-based number of the fixed-size chunk that a row falls into within its (short) group."""
+    return F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size)
+
+
+def chunked(df: DataFrame, order: list[str], size: int, name: str = "chunk") -> DataFrame:
+    """Rows of one ordered list with the number of their fixed-size chunk, however long the list is."""
+    from quillspark.operators.contracts import ordinals
+
+    if size <= 0:
+        raise ValueError("a chunk has one row at least")
+    return ordinals(df, order, "_o").withColumn(name, F.floor(F.col("_o") / size)).drop("_o")
 
 
 def pack(df: DataFrame, by: list[str], order: list[str], key: str, length: str, most: int, emit_tail: bool = False) -> DataFrame:
@@ -48,8 +95,9 @@ def pack(df: DataFrame, by: list[str], order: list[str], key: str, length: str,
 
     A row that doesn't fit closes the sequence and starts the next.  Rows longer than ``most`` and
     of null length are dropped.  The last, unfinished sequence of a group is left out unless
-    ``emit_tail``.  What fits depends on all rows before, so a group is one ordered stream: rows are
-    range-partitioned nowhere, sorted by group and streamed through in batches, never held whole.
+    ``emit_tail``.  What fits depends on all rows before, so a group is one ordered stream of keys and
+    lengths, sorted outside memory and streamed through in batches; only one open sequence is held.
+    A group that is too large for one stream needs another column in ``by``, e.g. a shard.
     """
     cols = [*by, *order, key, length]
     d = df.select(*dict.fromkeys(cols)).where(f"{length} is not null and {length} <= {int(most)}").repartition(*by).sortWithinPartitions(*by, *order)

@@ -182,7 +182,7 @@ def adapter_lookup(spark, sf):
     return results(spark, sf).select("result_id", F.lower(F.upper("judge")).alias("k")).join(F.broadcast(reg), "k", "left").drop("k")
 
 
-@query("last_status_window", f"WITH {_R} SELECT judge, result_id, lag(status) OVER (PARTITION BY judge ORDER BY finished_at, result_id) AS before FROM r")
+@query("last_status_window", f"WITH {_R} SELECT index, result_id, lag(status) OVER (PARTITION BY index, modality ORDER BY finished_at, result_id) AS before FROM r")
 def last_status_window(spark, sf):
-    w = Window.partitionBy("judge").orderBy("finished_at", "result_id")
-    return results(spark, sf).select("judge", "result_id", F.lag("status").over(w).alias("before"))
+    w = Window.partitionBy("index", "modality").orderBy("finished_at", "result_id")
+    return results(spark, sf).select("index", "result_id", F.lag("status").over(w).alias("before"))

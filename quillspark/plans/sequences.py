@@ -24,10 +24,10 @@ def event_runs(spark, sf):
     return Q.runs(read(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type")
 
 
-@query("run_length_tokens", "WITH o AS (SELECT user_id, event_type, row_number() OVER w AS p, lag(event_type) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, coalesce(list(event_type ORDER BY p) FILTER ((p = 1 OR event_type <> b) AND event_type <> 'view'), []) AS tokens FROM o GROUP BY user_id")
+@query("run_length_tokens", "WITH o AS (SELECT l_orderkey, l_returnflag, row_number() OVER w AS p, lag(l_returnflag) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) SELECT l_orderkey, coalesce(list(l_returnflag ORDER BY p) FILTER ((p = 1 OR l_returnflag <> b) AND l_returnflag <> 'N'), []) AS tokens FROM o GROUP BY l_orderkey")
 def run_length_tokens(spark, sf):
-    d = read(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda s: s["event_type"]).alias("t"))
-    return d.select("user_id", Q.run_length(F.col("t"), F.lit("view")).alias("tokens"))
+    d = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))), lambda s: s["l_returnflag"]).alias("t"))
+    return d.select("l_orderkey", Q.run_length(F.col("t"), F.lit("N")).alias("tokens"))
 
 
 @query("sliding_windows", "WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, len(range(0, len(v) - 16 + 1, 8)) AS windows, round(list_sum(v[(len(range(0, len(v) - 16 + 1, 8)) - 1) * 8 + 1 : (len(range(0, len(v) - 16 + 1, 8)) - 1) * 8 + 16]), 6) AS last_sum FROM d")
@@ -106,6 +106,11 @@ def chunks(spark, sf):
     return read(spark, sf, "orders").select("o_custkey", "o_orderkey", Q.chunk_number(["o_orderkey"], 4, ["o_custkey"]).alias("chunk"))
 
 
+@query("list_chunks", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS chunk FROM documents")
+def list_chunks(spark, sf):
+    return Q.chunked(read(spark, sf, "documents").select("doc_id"), ["doc_id"], 16)
+
+
 @query("resume_skip", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 3")
 def resume_skip(spark, sf):
     return read(spark, sf, "orders").select("o_custkey", "o_orderkey", (Q.chunk_number(["o_orderkey"], 1, ["o_custkey"]) + 1).alias("n")).where("n > 3").drop("n")

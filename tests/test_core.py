@@ -143,6 +143,29 @@ def test_pack_equals_a_plain_loop(spark, tail):
     assert Q.pack(df.where("false"), ["g"], ["k"], "k", "n", 100).count() == 0
 
 
+def test_runs_across_partitions(spark):
+    r = random.Random(6)
+    rows = [("hot" if k % 9 else None, k, r.choice(["x", "y", None])) for k in range(600)]
+    want = []
+    for g in ("hot", None):
+        run, last, n, at = 0, object(), 0, 0
+        for _, _, v in (x for x in rows if x[0] == g):
+            if v != last:
+                if n:
+                    want.append((g, run, last, at - n + 1, at, n))
+                run, last, n = run + 1, v, 0
+            n, at = n + 1, at + 1
+        want.append((g, run, last, at - n + 1, at, n))
+    df = spark.createDataFrame(rows, "g string, k int, v string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(x) for x in Q.runs(df, ["g"], ["k"], "v").select("g", "run", "v", "start", "end", "n").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert Q.runs(df.where("false"), ["g"], ["k"], "v").count() == 0
+
+
 def test_finished_pack(spark):
     df = spark.createDataFrame([([1, 2, 3, 4, 5], [-100, 2, 3, -100, 5], [3, 2])], "t array<bigint>, l array<bigint>, s array<int>")
     x = df.select(Q.finished(F.col("t"), F.col("l"), F.col("s"), 6, 0, -100).alias("f")).collect()[0].f
