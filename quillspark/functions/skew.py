@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, spread: Column, rows: int | None = None, how: str = "inner", salts: int = 16) -> DataFrame:
-    """Join ``left`` to a table with one row per key, however skewed the keys of ``left`` are.
+def lookup_join(left: DataFrame, right: DataFrame, key: str | list[str], spread: Column, rows: int | None = None, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join ``left`` to a table with few rows per key, however skewed the keys of ``left`` are.
 
     Up to BROADCAST_ROWS rows ``right`` is broadcast (the count is the check); beyond, each row of
     ``right`` is given ``salts`` times and each of ``left`` goes to one of them by ``spread``.
@@ -19,4 +19,4 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, spread: Column, row
         return left.join(F.broadcast(right), key, how)
     left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")

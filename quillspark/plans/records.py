@@ -22,7 +22,7 @@ from quillspark.streaming import status
 
 QUERIES, ORACLE, query = registry()
 _BLANK = lambda c: f"coalesce({sql_strip(c)}, '') = ''"
-_SRC = ["africanstorybook", "talecorner", "leafshelf"]
+_SRC = ["panelnest", "talecorner", "leafshelf"]
 
 
 def _index(spark, sf):
@@ -74,7 +74,7 @@ def blank_fields(spark, sf):
     return K.blank_fields(read(spark, sf, "dataset"), "id").withColumnRenamed("column", "field")
 
 
-@query("source_histogram_gap", "WITH h AS (SELECT source, count(*) AS n FROM dataset GROUP BY source), e(source, expected) AS (VALUES ('africanstorybook', 1), ('talecorner', 2), ('leafshelf', 3)) SELECT source, coalesce(n, 0) AS n, coalesce(expected, 0) AS expected FROM h FULL JOIN e USING (source) WHERE coalesce(n, 0) <> coalesce(expected, 0)")
+@query("source_histogram_gap", "WITH h AS (SELECT source, count(*) AS n FROM dataset GROUP BY source), e(source, expected) AS (VALUES ('panelnest', 1), ('talecorner', 2), ('leafshelf', 3)) SELECT source, coalesce(n, 0) AS n, coalesce(expected, 0) AS expected FROM h FULL JOIN e USING (source) WHERE coalesce(n, 0) <> coalesce(expected, 0)")
 def source_histogram_gap(spark, sf):
     return K.histogram_gap(read(spark, sf, "dataset"), "source", dict(zip(_SRC, (1, 2, 3))))
 

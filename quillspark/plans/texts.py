@@ -95,8 +95,8 @@ def tag_segments(spark, sf):
 @query("assistant_payload", "SELECT doc_id, trim(CASE WHEN doc_id % 2 = 0 THEN kind ELSE book END) AS payload FROM documents WHERE book IS NOT NULL AND kind IS NOT NULL")
 def assistant_payload(spark, sf):
     d = read(spark, sf, "documents").where("book is not null and kind is not null")
-    t = F.concat(F.lit("[MMGPT]: "), "book", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<eom>x[MMGPT] : "), "kind", F.lit("<eom> tail"))).otherwise(F.lit("")))
-    return d.select("doc_id", T.last_payload(t, "[MMGPT]", "<eom>").alias("payload"))
+    t = F.concat(F.lit("[ANSWER]: "), "book", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<eom>x[ANSWER] : "), "kind", F.lit("<eom> tail"))).otherwise(F.lit("")))
+    return d.select("doc_id", T.last_payload(t, "[ANSWER]", "<eom>").alias("payload"))
 
 
 @query("speech_text_normalize")
