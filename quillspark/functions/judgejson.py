@@ -273,6 +273,15 @@ def unrecoverable(raw: str | None) -> bool:
     return isinstance(raw, str) and any(isinstance(v, dict) and v.get("unrecoverable") is True for v in readings(raw))
 
 
+def repair_request(raw: Column | str, error: Column | str, modality: Column | str) -> Column:
+    """The messages that ask a model to bring a response into its modality's schema without adding to it."""
+    forms = F.create_map(*[F.lit(x) for m, cs in CATEGORIES.items() for x in (m, json.dumps({c: {"score": "<integer 1-10>", "rationale": "<text>"} for c in cs}))])
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    ask = F.concat_ws("\n", F.lit("Bring the response into this JSON form; add no score and no rationale of your own."), F.lit('Answer {"unrecoverable": true} if a value is missing. JSON only.'), F.try_element_at(forms, c(modality)), F.concat(F.lit("Error: "), c(error)), F.concat(F.lit("Response: "), c(raw)))
+    role = lambda r, t: F.struct(F.lit(r).alias("role"), t.alias("content"))
+    return F.array(role("system", F.lit("You repair malformed answers and keep their meaning.")), role("user", ask))
+
+
 RESULT = "struct<status:string,inference_status:string,parse_status:string,parse_method:string,repair_status:string,judge_eval:map<string,struct<score:int,rationale:string>>,initial_parse_error:string,final_parse_error:string>"
 
 

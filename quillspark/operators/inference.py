@@ -102,6 +102,24 @@ def run(requests: DataFrame, adapter: Adapter, key: str, request: str, batch: in
     return requests.select(key, request).mapInPandas(work, RESULT)
 
 
+def pipeline(samples: DataFrame, key: str, prompt: str, plan: Adapter, image: Adapter, speech: Adapter) -> DataFrame:
+    """(key, narration, image, speech, failed): a plan for each sample, then an image and a voice from what it says.
+
+    The plan is a labelled text; a sample whose plan fails has neither, and ``failed`` names the
+    modalities that a sample lacks.
+    """
+    from quillspark.functions.generation import plan_with_defaults
+    from quillspark.session import table
+
+    got = run(samples, plan, key, prompt).select(F.col("key").alias(key), F.when(F.col("inference_status") == "ok", F.col("raw_response")).alias("raw"))
+    plans = table(got.withColumn("p", plan_with_defaults(F.col("raw"), F.lit(""))).select(key, F.when(F.col("raw").isNotNull(), F.col("p.narration")).alias("narration"), F.coalesce(F.nullif("p.image_prompt", F.lit("")), "p.narration").alias("scene"), "p.speech"), "plans")
+    good = plans.where("narration is not null")
+    made = lambda a, c, name: run(good, a, key, c).select(F.col("key").alias(key), F.when(F.col("inference_status") == "ok", F.col("raw_response")).alias(name))
+    out = plans.select(key, "narration").join(made(image, "scene", "image"), key, "left").join(made(speech, "speech", "speech"), key, "left")
+    lacks = [F.when(F.col(c).isNull(), F.lit(m)) for c, m in (("narration", "text"), ("image", "image"), ("speech", "speech"))]
+    return out.withColumn("failed", F.array_compact(F.array(*lacks)))
+
+
 def attach(records: DataFrame, results: DataFrame, key: str, reason: str = "Candidate artifact is unavailable.") -> DataFrame:
     """Every record with its result; records without one are skipped, for the reason given."""
     r = results.select(F.col("key").alias(key), "raw_response", "inference_status", "error")

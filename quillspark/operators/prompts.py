@@ -87,6 +87,23 @@ def messages(df: DataFrame, by: list[str], turn: str, text: str, system: str) ->
     return g.select(*by, F.concat(F.array(message("system", F.lit(system))), F.filter(all_, lambda m: m["content"].isNotNull())).alias("messages"))
 
 
+def with_directive(messages_: Column, directive: str) -> Column:
+    """Messages whose system message ends with a directive; one is put in front where there is none."""
+    own = F.exists(messages_, lambda m: m["role"] == "system")
+    put = F.transform(messages_, lambda m: F.when(m["role"] == "system", F.struct(m["role"].alias("role"), F.concat_ws("\n", m["content"], F.lit(directive)).alias("content"))).otherwise(m))
+    return F.when(own, put).otherwise(F.concat(F.array(message("system", F.lit(directive))), messages_))
+
+
+def pairs(df: DataFrame, by: list[str], turn: str, text: str) -> DataFrame:
+    """(by..., pair, asked, answered): turns two by two; a last question without answer has null."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(turn)) - 1
+    d = df.select(*by, text, n.alias("_n")).withColumn("pair", F.floor(F.col("_n") / 2))
+    pick = lambda k: F.max(F.when(F.col("_n") % 2 == k, F.col(text)))
+    return d.groupBy(*by, "pair").agg(pick(0).alias("asked"), pick(1).alias("answered"))
+
+
 def reordered(content: Column) -> Column:
     """Message parts with images first, then text, then audio; other kinds last, each in its order."""
     kinds = ("image", "text", "audio")

@@ -74,6 +74,11 @@ def stage_table(scores: DataFrame) -> DataFrame:
     return wide.select("stage", *[F.col(m).alias(f"judge_{m}") for m in ("text", "image", "speech", "joint")])
 
 
+def with_aux(stages: DataFrame, aux: dict[str, float | None], stage: int = 1) -> DataFrame:
+    """Metrics that only one stage has, null for the others."""
+    return stages.withColumns({n: F.when(F.col("stage") == stage, F.lit(v).cast("double")) for n, v in aux.items()})
+
+
 def formatted(value: Column | str, digits: int = 6) -> Column:
     """A number with fixed decimals, '' for null."""
     v = F.col(value) if isinstance(value, str) else value

@@ -281,6 +281,44 @@ def category_signatures(spark, sf):
     return spark.createDataFrame(rows, "modality string, key string").groupBy("key").agg(F.array_sort(F.collect_set("modality")).alias("modalities"))
 
 
+@query("raw_speech_fallback", "SELECT o_custkey, CASE WHEN min(o_orderkey) % 3 = 2 THEN NULL ELSE 'line ' || min(o_orderkey) END AS line, CASE WHEN min(o_orderkey) % 3 = 2 THEN NULL WHEN min(o_orderkey) % 3 = 0 THEN 'Ann' ELSE 'Narrator' END AS name FROM orders GROUP BY o_custkey")
+def raw_speech_fallback(spark, sf):
+    """Raw answers with metadata, with a quote only, and with neither; the first file counts."""
+    k = F.col("o_orderkey").cast("string")
+    body = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('{"text": "t", "speech_metadata": {"speaker": {"name": "Ann", "line": "line '), k, F.lit('"}}}'))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('{"text": "t", "quote": "line '), k, F.lit('"}'))).otherwise('{"text": "t"}')
+    d = read(spark, sf, "orders").select("o_custkey", F.concat(F.lpad(k, 12, "0"), F.lit(".json")).alias("path"), body.alias("content"))
+    return readers.raw_speech(d, "o_custkey").select("o_custkey", "line", "name")
+
+
+@query("artifact_checks", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'blank' WHEN 1 THEN 'format' WHEN 2 THEN NULL ELSE 'empty' END AS problem FROM documents")
+def artifact_checks(spark, sf):
+    k = F.col("doc_id") % 4
+    c = F.when(k == 0, F.unhex(F.lit("20090A"))).when(k == 1, F.unhex(F.lit("52494646000000004E4F5045"))).when(k == 2, F.unhex(F.lit("89504E470D0A1A0A0000000D"))).otherwise(F.unhex(F.lit("")))
+    m = F.when(k == 0, "text").when(k == 1, "speech").otherwise("image")
+    return read(spark, sf, "documents").select("doc_id", readers.artifact_problem(m, c).alias("problem"))
+
+
+@query("sample_pipeline", "SELECT doc_id, upper('a page ' || doc_id) AS narration, upper('say ' || doc_id) AS speech, CASE WHEN doc_id % 10 = 0 THEN ['image'] ELSE [] END AS failed FROM documents")
+def sample_pipeline(spark, sf):
+    """Plans, images and voices of a test model that cannot draw every tenth sample."""
+    n = F.col("doc_id").cast("string")
+    p = F.concat(F.lit("narration: a page "), n, F.lit("\nspeech: say "), n, F.lit("\nimage_prompt: "), F.when(F.col("doc_id") % 10 == 0, "nothing").otherwise("a hill"))
+    d = read(spark, sf, "documents").select("doc_id", p.alias("prompt"))
+    return I.pipeline(d, "doc_id", "prompt", I.echo_adapter(), I.echo_adapter("NOTHING"), I.echo_adapter()).select("doc_id", "narration", "speech", "failed")
+
+
+@query("chat_pairs", "WITH t AS (SELECT o_custkey, o_orderpriority AS m, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders) SELECT o_custkey, i // 2 AS pair, max(m) FILTER (i % 2 = 0) AS asked, max(m) FILTER (i % 2 = 1) AS answered FROM t GROUP BY ALL")
+def chat_pairs(spark, sf):
+    return R.pairs(read(spark, sf, "orders"), ["o_custkey"], "o_orderkey", "o_orderpriority")
+
+
+@query("directed_messages", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Judge.' || chr(10) || 'No thinking.' ELSE 'No thinking.' END AS system, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 2 END AS n FROM documents")
+def directed_messages(spark, sf):
+    m = F.when(F.col("doc_id") % 2 == 0, F.array(R.message("system", F.lit("Judge.")), R.message("user", F.lit("x")))).otherwise(F.array(R.message("user", F.lit("x"))))
+    d = read(spark, sf, "documents").select("doc_id", R.with_directive(m, "No thinking.").alias("m"))
+    return d.select("doc_id", F.get("m", F.lit(0))["content"].alias("system"), F.size("m").alias("n"))
+
+
 @query("partial_rows", "SELECT count(*) FILTER (n IN (0, 3)) AS whole, count(*) FILTER (n IN (1, 2)) AS partial FROM (SELECT (CASE WHEN current_text IS NULL THEN 0 ELSE 1 END) + (CASE WHEN next_text IS NULL THEN 0 ELSE 1 END) + (CASE WHEN sample_path IS NULL THEN 0 ELSE 1 END) AS n FROM dataset)")
 def partial_rows(spark, sf):
     good, bad = sinks.split_partial(read(spark, sf, "dataset"), ["current_text", "next_text", "sample_path"])

@@ -41,6 +41,20 @@ def stage_table(spark, sf):
     return t.select("stage", *[F.round(c, 9).alias(c) for c in t.columns[1:]])
 
 
+@query("stage_table_aux", f"WITH {_R} SELECT DISTINCT stage, CASE WHEN stage = 1 THEN (SELECT round(avg(CASE WHEN n_chars > 200 THEN 1.0 ELSE 0 END), 9) FROM documents) END AS aux FROM r")
+def stage_table_aux(spark, sf):
+    """A metric of the first stage only beside all stages."""
+    v = read(spark, sf, "documents").agg(F.round(F.avg(F.when(F.col("n_chars") > 200, 1.0).otherwise(0.0)), 9)).first()[0]
+    return S.with_aux(results(spark, sf).select("stage").distinct(), {"aux": v})
+
+
+@query("repair_requests", f"WITH {_R} SELECT result_id, 2 AS n, contains(raw_response, 'score') AS has_score FROM r WHERE status = 'parse_error' AND raw_response IS NOT NULL AND final_parse_error IS NOT NULL")
+def repair_requests(spark, sf):
+    d = results(spark, sf).where("status = 'parse_error' and raw_response is not null and final_parse_error is not null")
+    m = J.repair_request("raw_response", "final_parse_error", "modality")
+    return d.select("result_id", "raw_response", m.alias("m")).select("result_id", F.size("m").alias("n"), F.contains(F.substring_index(F.get("m", F.lit(1))["content"], "Response: ", -1), F.lit("score")).alias("has_score"))
+
+
 @query("stage_table_text", f"WITH {_LONG}, m AS (SELECT modality, stage, result_id, avg(coalesce(score, 0)) AS mean FROM l GROUP BY ALL), a AS (SELECT stage, modality, avg(mean) AS average FROM m GROUP BY ALL), t AS (SELECT stage, " + ", ".join(f"coalesce(printf('%.3f', max(average) FILTER (modality = '{m}')), '') AS c_{m}" for m in J.CATEGORIES) + " FROM a GROUP BY stage) SELECT '| ' || stage || ' | ' || c_text || ' | ' || c_image || ' | ' || c_speech || ' | ' || c_joint || ' |' AS line FROM t")
 def stage_table_text(spark, sf):
     t = S.stage_table(S.long_scores(results(spark, sf)))

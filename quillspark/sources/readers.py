@@ -139,6 +139,33 @@ def verified(listing: DataFrame, wanted: DataFrame) -> DataFrame:
     return j.select("name", F.coalesce(good, F.lit(False)).alias("ok"))
 
 
+def raw_speech(answers: DataFrame, by: str = "dataset_index", path: str = "path", content: str = "content") -> DataFrame:
+    """(by, line, name, emotion, speed, pitch, gender) from the first raw answer (by path) of each sample.
+
+    Speaker fields that an answer lacks are the defaults; a sample whose answer holds no speech line,
+    neither in its metadata nor as its quote, has nulls.
+    """
+    from quillspark.functions.generation import page_column
+
+    first = answers.where(F.col(path).endswith(".json")).groupBy(by).agg(F.min_by(content, path).alias("raw"))
+    p = first.select(by, page_column("raw").alias("p"))
+    spoken = F.col("p.quote").isNotNull()
+    return p.select(by, F.col("p.quote").alias("line"), *[F.when(spoken, F.col(f"p.{c}")).alias(c) for c in ("name", "emotion", "speed", "pitch", "gender")])
+
+
+def artifact_problem(modality: Column | str, content: Column | str) -> Column:
+    """Why a file is no artifact of its modality: 'empty', 'blank' or 'format'; null if it is one."""
+    m = F.col(modality) if isinstance(modality, str) else modality
+    c = F.col(content) if isinstance(content, str) else content
+    kind = media_kind(c)
+    return (
+        F.when(c.isNull() | (F.octet_length(c) == 0), "empty")
+        .when((m == "text") & (F.trim(F.regexp_replace(F.decode(c, "UTF-8"), r"\s+", " ")) == ""), "blank")
+        .when((m == "image") & ~F.coalesce(kind.isin("png", "jpeg"), F.lit(False)), "format")
+        .when((m == "speech") & ~F.coalesce(kind.isin("wav", "flac", "ogg"), F.lit(False)), "format")
+    )
+
+
 #: First bytes that tell a format. Fixed values.
 MAGIC = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "wav": "52494646", "flac": "664C6143", "ogg": "4F676753"}
 

@@ -20,6 +20,14 @@ def confined(path: str, root: str) -> str:
     return path
 
 
+def json_document(df: DataFrame, path: str, root: str) -> None:
+    """A one-row result as one JSON line below root; more rows are an error."""
+    rows = df.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("a document has one row")
+    df.limit(1).coalesce(1).write.mode("overwrite").json(confined(path, root))
+
+
 def write_manifest(records: DataFrame, path: str, version: int, dataset: dict) -> None:
     """Records as Parquet, and beside them one row of metadata with their number."""
     records.write.mode("overwrite").parquet(f"{path}/records")
