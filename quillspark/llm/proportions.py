@@ -10,7 +10,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.sampling import smallest, uniform
@@ -57,91 +57,113 @@ def rake(counts: dict[tuple, int], margins: list[dict[str, float]], rounds: int
     return weight
 
 
-class Sample:
-    """The drawn rows and the report of one plan."""
-
-    def __init__(self, rows: DataFrame, plan: str, targets: list[tuple[str, str, float, int]], size: int, seed: str = "7"):
-        """``rows``: id and one column per field, categories as by category(); targets: field, category, share, minimum."""
-        spark = rows.sparkSession
-        self.plan, self.size = plan, size
-        fields = list(dict.fromkeys(t[0] for t in targets))
-        want: list[dict[str, float]] = []
-        least: list[dict[str, int]] = []
-        for f in fields:
-            own = [t for t in targets if t[0] == f]
-            want.append({t[1]: float(t[2] or 0.0) for t in own})
-            least.append({t[1]: int(t[3] or 0) for t in own})
-        cells = rows.select(*[F.when(F.col(f).isin(list(m)), F.col(f)).otherwise(F.lit(OTHER)).alias(f) for f, m in zip(fields, want)])
-        cells = cells.groupBy(*fields).count()
+def quotas(size: int, want: dict[str, float], least: dict[str, int], there: dict[str, int]) -> dict[str, int]:
+    """Rows per category: its share of the size, its minimum at least, what is there at most."""
+    exact = {v: s * size for v, s in want.items()}
+    quota = {v: min(there[v], max(int(x + 1e-9), least[v])) for v, x in exact.items()}
+    left = size - sum(quota.values())
+    # too many: the minimums are paid for by categories above their own, the largest first
+    while left < 0:
+        v = max((v for v in quota if quota[v] > min(least[v], there[v])), key=lambda v: quota[v] - max(least[v], 0), default=None)
+        if v is None:
+            break
+        step = min(-left, max(1, (quota[v] - min(least[v], there[v])) // len(quota)))
+        quota[v] -= step
+        left += step
+    # too few: rounding first, then what others lack goes where rows are left, by share
+    for v in sorted(quota, key=lambda v: int(exact[v] + 1e-9) - exact[v]):
+        if left > 0 and quota[v] < there[v] and exact[v] > quota[v]:
+            quota[v] += 1
+            left -= 1
+    while left > 0 and any(quota[v] < there[v] and want[v] > 0 for v in quota):
+        room = [v for v in quota if quota[v] < there[v] and want[v] > 0]
+        total = sum(want[v] for v in room)
+        for v in room:
+            add = min(there[v] - quota[v], max(1, int(left * want[v] / total)), left)
+            quota[v] += add
+            left -= add
+    return quota
+
+
+class Plan:
+    """One plan's margins: targets, minimums, the rows there are, and the weight of each combination."""
+
+    def __init__(self, name: str, targets: list, size: int):
+        self.name, self.size = name, size
+        self.fields = list(dict.fromkeys(t.field_name for t in targets))
+        own = [[t for t in targets if t.field_name == f] for f in self.fields]
+        self.want = [{t.name: float(t.target_share or 0.0) for t in ts} for ts in own]
+        self.least = [{t.name: int(t.min_rows or 0) for t in ts} for ts in own]
         bound = 1
-        for m in want:
+        for m in self.want:
             bound *= len(m) + 1
         if bound > MOST_CELLS:
-            raise ValueError(f"plan {plan} has {bound} category combinations; {MOST_CELLS} at most")
-        counts = {tuple(r[:-1]): r[-1] for r in cells.collect()}
-        weights = rake(counts, want)
-        self.available = [{v: sum(n for c, n in counts.items() if c[d] == v) for v in m} for d, m in enumerate(want)]
-
-        frame = spark.createDataFrame([(*c, w) for c, w in weights.items() if w > 0], ", ".join(f"`{f}` string" for f in fields) + ", weight double")
-        keyed = rows.join(F.broadcast(frame), fields).withColumn("e", -F.log(uniform(seed, F.lit(plan), "id")) / F.col("weight"))
-        # an exponential key as a number in (0, 1), in the same order
-        keyed = table(keyed.withColumn("key", F.col("e") / (F.col("e") + F.lit(float(max(1, sum(counts.values())))))).withColumn("size", F.lit(size)).drop("e"), "sample-keys")
-        drawn = smallest(keyed.withColumn("all", F.lit(0)), ["all"], "key", "size", "id").select("id", *fields)
-        drawn = table(drawn, "sample-drawn")
-
-        # repair, margin by margin: each category's number, minimums first
-        for d, f in enumerate(fields):
-            have = {r[0]: r[1] for r in drawn.groupBy(f).count().collect()}
-            quota = self._quotas(want[d], least[d], self.available[d])
-            if all(have.get(v, 0) == q for v, q in quota.items()):
-                continue
-            q = spark.createDataFrame([(v, n) for v, n in quota.items()], f"`{f}` string, quota int")
-            if len(fields) == 1:
-                drawn = smallest(keyed.join(F.broadcast(q), f), [f], "key", "quota", "id").select("id", *fields)
-            else:  # other margins keep what they have: only minimums are topped up
-                under = [(v, quota[v]) for v in quota if have.get(v, 0) < min(least[d].get(v, 0), self.available[d][v])]
-                if under:
-                    q = spark.createDataFrame(under, f"`{f}` string, quota int")
-                    more = smallest(keyed.join(F.broadcast(q), f), [f], "key", "quota", "id").select("id", *fields)
-                    drawn = drawn.unionByName(more).dropDuplicates(["id"])
-            drawn = table(drawn, "sample-repaired")
-        self.rows = drawn
-        lines = []
-        for d, f in enumerate(fields):
-            have = {r[0]: r[1] for r in drawn.groupBy(f).count().collect()}
-            for v, s in want[d].items():
-                lines.append((plan, f, v, s, least[d][v], self.available[d][v], have.get(v, 0), size))
-        self.lines = lines
-
-    def _quotas(self, want: dict[str, float], least: dict[str, int], there: dict[str, int]) -> dict[str, int]:
-        """Rows per category: its share of the size, its minimum at least, what is there at most."""
-        exact = {v: s * self.size for v, s in want.items()}
-        quota = {v: min(there[v], max(int(x + 1e-9), least[v])) for v, x in exact.items()}
-        left = self.size - sum(quota.values())
-        # too many: the minimums are paid for by categories above their own, the largest first
-        while left < 0:
-            v = max((v for v in quota if quota[v] > min(least[v], there[v])), key=lambda v: quota[v] - max(least[v], 0), default=None)
-            if v is None:
-                break
-            step = min(-left, max(1, (quota[v] - min(least[v], there[v])) // len(quota)))
-            quota[v] -= step
-            left += step
-        # too few: rounding first, then what others lack goes where rows are left, by share
-        for v in sorted(quota, key=lambda v: int(exact[v] + 1e-9) - exact[v]):
-            if left > 0 and quota[v] < there[v] and exact[v] > quota[v]:
-                quota[v] += 1
-                left -= 1
-        while left > 0 and any(quota[v] < there[v] and want[v] > 0 for v in quota):
-            room = [v for v in quota if quota[v] < there[v] and want[v] > 0]
-            total = sum(want[v] for v in room)
-            for v in room:
-                add = min(there[v] - quota[v], max(1, int(left * want[v] / total)), left)
-                quota[v] += add
-                left -= add
-        return quota
-
-
-REPORT = "plan string, field_name string, name string, target_share double, min_rows int, available bigint, drawn bigint, sample_rows bigint"
+            raise ValueError(f"plan {name} has {bound} category combinations; {MOST_CELLS} at most")
+
+    def cells(self, base: DataFrame) -> DataFrame:
+        """(plan, cell, n): rows of each combination of the plan's categories."""
+        cell = F.array(*[F.when(F.col(f).isin(list(m)), F.col(f)).otherwise(F.lit(OTHER)) for f, m in zip(self.fields, self.want)])
+        return base.groupBy(F.lit(self.name).alias("plan"), cell.alias("cell")).agg(F.count("*").alias("n"))
+
+    def weigh(self, counts: dict[tuple, int]) -> list[tuple]:
+        self.weights = rake(counts, self.want)
+        self.there = [{v: sum(n for c, n in counts.items() if c[d] == v) for v in m} for d, m in enumerate(self.want)]
+        total = float(max(1, sum(counts.values())))
+        return [(self.name, list(c), w, total, self.size) for c, w in self.weights.items() if w > 0]
+
+    def keyed(self, base: DataFrame) -> DataFrame:
+        return base.select("id", F.lit(self.name).alias("plan"), F.array(*self.fields).alias("cell"), F.array(*map(F.lit, self.fields)).alias("names"))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _margins(drawn: DataFrame) -> dict[tuple, int]:
+    """Drawn rows of each (plan, field, category)."""
+    d = drawn.select("plan", F.explode(F.arrays_zip("names", "cell")).alias("m")).groupBy("plan", "m.names", "m.cell").agg(F.count("*").alias("n"))
+    return {(r[0], r[1], r[2]): r[3] for r in d.collect()}
+
+
+def _draw(base: DataFrame, plans: list[Plan], seed: str) -> tuple[DataFrame, dict[tuple, int]]:
+    """(plan, id, names, cell) of the drawn rows, minimums repaired, and their numbers."""
+    spark = base.sparkSession
+    counts: dict[str, dict[tuple, int]] = {p.name: {} for p in plans}
+    for r in _union([p.cells(base) for p in plans]).collect():
+        counts[r.plan][tuple(r.cell)] = r.n
+    weights = [w for p in plans for w in p.weigh(counts[p.name])]
+    weights = spark.createDataFrame(weights, "plan string, cell array<string>, weight double, total double, size int")
+    e = -F.log(uniform(seed, "plan", "id")) / F.col("weight")
+    # an exponential key as a number in (0, 1), in the same order
+    keyed = _union([p.keyed(base) for p in plans]).join(F.broadcast(weights), ["plan", "cell"]).withColumn("key", e / (e + F.col("total")))
+    keyed = table(keyed.select("plan", "id", "names", "cell", "key", "size"), "sample-keys")
+    cols = ["plan", "id", "names", "cell"]
+    drawn = table(smallest(keyed, ["plan"], "key", "size", "id").select(*cols), "sample-drawn")
+    have = _margins(drawn)
+
+    # repair: with one margin every category gets its quota; with several, only minimums are topped up
+    fixed, topped = [], []
+    for p in plans:
+        for f, want, least, there in zip(p.fields, p.want, p.least, p.there):
+            quota = quotas(p.size, want, least, there)
+            if len(p.fields) == 1 and any(have.get((p.name, f, v), 0) != q for v, q in quota.items()):
+                fixed += [(p.name, f, v, q) for v, q in quota.items()]
+            elif len(p.fields) > 1:
+                topped += [(p.name, f, v, q) for v, q in quota.items() if have.get((p.name, f, v), 0) < min(least[v], there[v])]
+    if not fixed and not topped:
+        return drawn, have
+    q = spark.createDataFrame(fixed + topped, "plan string, field string, value string, quota int")
+    at = keyed.withColumn("m", F.explode(F.arrays_zip("names", "cell"))).withColumn("field", F.col("m.names")).withColumn("value", F.col("m.cell")).drop("m")
+    more = smallest(at.join(F.broadcast(q), ["plan", "field", "value"]), ["plan", "field", "value"], "key", "quota", "id").select(*cols)
+    kept = drawn.where(~F.col("plan").isin(sorted({x[0] for x in fixed}) or [""]))
+    drawn = table(kept.unionByName(more).dropDuplicates(["plan", "id"]), "sample-repaired")
+    return drawn, _margins(drawn)
+
+
+REPORT = "plan string, field_name string, name string, available bigint, drawn bigint"
 
 
 def samples(data: DataFrame, targets: DataFrame, seed: str = "7") -> tuple[DataFrame | None, DataFrame]:
@@ -149,35 +171,29 @@ def samples(data: DataFrame, targets: DataFrame, seed: str = "7") -> tuple[DataF
 
     ``data``: id and category columns; an id that comes again counts once.  ``targets`` as in
     sample_targets.  Null and blank categories are none and are not drawn.  Empty data draw nothing
-    and leave every target with a positive need open.
+    and leave every target with a positive need open.  All plans go through the same few jobs.
     """
     spark = data.sparkSession
     rows = targets.where("plan is not null and field_name is not null").select("plan", "field_name", "category", category(F.col("category")).alias("name"), "target_share", "min_rows", "sample_rows").where("name is not null").collect()
-    plans: dict[str, list] = {}
+    by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.plan, r.field_name, r.category)):
-        plans.setdefault(r.plan, []).append(r)
+        by.setdefault(r.plan, []).append(r)
     fields = sorted({r.field_name for r in rows})
     unknown = [f for f in fields if f not in data.columns]
     if unknown:
         raise ValueError(f"no such columns: {', '.join(unknown)}")
-    base = data.where("id is not null").groupBy("id").agg(*[F.min(category(F.col(f))).alias(f) for f in fields]) if fields else data.select("id")
-    base = table(base, "sample-rows")
     drawn, lines = None, []
-    for plan, own in plans.items():
-        s = Sample(base, plan, [(r.field_name, r.name, r.target_share, r.min_rows) for r in own], max(int(r.sample_rows or 0) for r in own), seed)
-        got = s.rows.select(F.lit(plan).alias("plan"), "id")
-        drawn = got if drawn is None else drawn.unionByName(got)
-        lines += s.lines
+    if by:
+        base = table(data.where("id is not null").groupBy("id").agg(*[F.min(category(F.col(f))).alias(f) for f in fields]), "sample-rows")
+        plans = [Plan(name, own, max(int(r.sample_rows or 0) for r in own)) for name, own in by.items()]
+        drawn, have = _draw(base, plans, seed)
+        lines = [(p.name, f, v, there[v], have.get((p.name, f, v), 0)) for p in plans for f, want, there in zip(p.fields, p.want, p.there) for v in want]
+        drawn = drawn.select("plan", "id")
     report = spark.createDataFrame(lines, REPORT)
     need = F.greatest(F.col("min_rows").cast("double"), F.col("target_share") * F.col("sample_rows"))
-    report = targets.select("plan", "field_name", "category", category(F.col("category")).alias("name")).join(F.broadcast(report), ["plan", "field_name", "name"])
-    return drawn, report.select("plan", "field_name", "category", "target_share", "min_rows", "sample_rows", "available", "drawn", need.alias("need"), (F.col("available") < need - 1e-9).alias("short"), (F.try_divide(F.col("drawn"), F.sum("drawn").over(_by_plan())) - F.col("target_share")).alias("share_gap"))
-
-
-def _by_plan():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("plan", "field_name")
+    report = targets.select("plan", "field_name", "category", category(F.col("category")).alias("name"), "target_share", "min_rows", "sample_rows").join(F.broadcast(report), ["plan", "field_name", "name"])
+    share = F.try_divide(F.col("drawn").cast("double"), F.sum("drawn").over(Window.partitionBy("plan", "field_name"))) - F.col("target_share")
+    return drawn, report.select("plan", "field_name", "category", "target_share", "min_rows", "sample_rows", "available", "drawn", need.alias("need"), (F.col("available") < need - 1e-9).alias("short"), share.alias("share_gap"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
