@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.sampling import smallest, uniform
+from quillspark.functions.skew import lookup_join
 from quillspark.functions.tokencount import RANKS, token_counts
 from quillspark.session import read, table
 
@@ -125,7 +126,7 @@ class Mix:
 
         Of the documents of one source and length, the seed decides which are used once more.
         """
-        joined = self.sized.join(self.planned, ["name", "length"])
+        joined = lookup_join(self.sized, self.planned, ["name", "length"], F.col("doc_id"))
         keyed = joined.withColumn("key", uniform(seed, "mix", "doc_id"))
         more = smallest(keyed.where("extra > 0"), ["mix", "name", "length"], "key", "extra", "doc_id").select("mix", "doc_id", F.lit(1).cast("bigint").alias("uses"))
         whole = joined.where("passes > 0").select("mix", "doc_id", F.col("passes").alias("uses"))
