@@ -31,11 +31,13 @@ def valid_score(score: Column) -> Column:
 def long_scores(results: DataFrame) -> DataFrame:
     """(result_id, index, modality, stage, judge, category, score): every category that a result should have.
 
-    A category that the result lacks, or whose score is none of 1..10, has a null score.
+    A category that the result lacks, or whose score is none of 1..10, has a null score.  A
+    result_id that comes again counts once: what is shuffled for that is the scores alone.
     """
     wanted = F.create_map(*[x for m, cs in CATEGORIES.items() for x in (F.lit(m), F.array(*map(F.lit, cs)))])
-    d = results.withColumn("category", F.explode(F.try_element_at(wanted, F.col("modality"))))
-    return d.select("result_id", "index", "modality", "stage", "judge", "category", valid_score(F.try_element_at("judge_eval", F.col("category"))["score"]).alias("score"))
+    scores = F.transform(F.try_element_at(wanted, F.col("modality")), lambda c: F.struct(c.alias("category"), valid_score(F.try_element_at("judge_eval", c)["score"]).alias("score")))
+    once = results.where("result_id is not null").select("result_id", "index", "modality", "stage", "judge", scores.alias("s")).groupBy("result_id").agg(*[F.first(c).alias(c) for c in ("index", "modality", "stage", "judge", "s")])
+    return once.select("result_id", "index", "modality", "stage", "judge", F.inline("s"))
 
 
 def judge_average(scores: DataFrame, *by: str) -> DataFrame:

@@ -19,6 +19,12 @@ def results(spark, sf):
     return read(spark, sf, "judge_results").where("result_id is not null").dropDuplicates(["result_id"])
 
 
+def scored(spark, sf):
+    """What scores need of the judge results: of the evaluations the scores, not the rationales."""
+    schema = "result_id bigint, index bigint, modality string, stage int, judge string, judge_eval map<string, struct<score: int>>"
+    return spark.read.schema(schema).parquet(f"{sf}/judge_results.parquet")
+
+
 _R = "r AS (SELECT * FROM judge_results WHERE result_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY received_at) = 1)"
 _CATS = "c(modality, category) AS (VALUES " + ", ".join(f"('{m}', '{c}')" for m, cs in J.CATEGORIES.items() for c in cs) + ")"
 _LONG = f"{_R}, {_CATS}, l AS (SELECT r.result_id, r.index, r.modality, r.stage, r.judge, r.source, c.category, CASE WHEN r.judge_eval[c.category].score BETWEEN 1 AND 10 THEN r.judge_eval[c.category].score END AS score FROM r JOIN c USING (modality))"
@@ -26,18 +32,18 @@ _LONG = f"{_R}, {_CATS}, l AS (SELECT r.result_id, r.index, r.modality, r.stage,
 
 @query("zero_filled_mean", f"WITH {_LONG} SELECT modality, judge, category, round(avg(coalesce(score, 0)), 9) AS average, count(*) FILTER (score IS NULL) AS zero_filled_count, round(avg(score), 9) AS valid_average FROM l GROUP BY ALL")
 def zero_filled_mean(spark, sf):
-    g = S.long_scores(results(spark, sf)).groupBy("modality", "judge", "category").agg(*S.zero_filled("score"))
+    g = S.long_scores(scored(spark, sf)).groupBy("modality", "judge", "category").agg(*S.zero_filled("score"))
     return g.select("modality", "judge", "category", F.round("average", 9).alias("average"), "zero_filled_count", F.round("valid_average", 9).alias("valid_average"))
 
 
 @query("category_score_average", f"WITH {_LONG}, m AS (SELECT modality, stage, result_id, avg(coalesce(score, 0)) AS mean, bool_or(score IS NULL) AS lacks FROM l GROUP BY ALL) SELECT stage, modality, count(*) AS record_count, round(avg(mean), 9) AS average, count(*) FILTER (lacks) AS zero_filled_record_count FROM m GROUP BY ALL")
 def category_score_average(spark, sf):
-    return S.judge_average(S.long_scores(results(spark, sf)), "stage", "modality").withColumn("average", F.round("average", 9))
+    return S.judge_average(S.long_scores(scored(spark, sf)), "stage", "modality").withColumn("average", F.round("average", 9))
 
 
 @query("stage_table", f"WITH {_LONG}, m AS (SELECT modality, stage, result_id, avg(coalesce(score, 0)) AS mean FROM l GROUP BY ALL), a AS (SELECT stage, modality, avg(mean) AS average FROM m GROUP BY ALL) SELECT stage, " + ", ".join(f"round(max(average) FILTER (modality = '{m}'), 9) AS judge_{m}" for m in J.CATEGORIES) + " FROM a GROUP BY stage")
 def stage_table(spark, sf):
-    t = S.stage_table(S.long_scores(results(spark, sf)))
+    t = S.stage_table(S.long_scores(scored(spark, sf)))
     return t.select("stage", *[F.round(c, 9).alias(c) for c in t.columns[1:]])
 
 
@@ -57,7 +63,7 @@ def repair_requests(spark, sf):
 
 @query("stage_table_text", f"WITH {_LONG}, m AS (SELECT modality, stage, result_id, avg(coalesce(score, 0)) AS mean FROM l GROUP BY ALL), a AS (SELECT stage, modality, avg(mean) AS average FROM m GROUP BY ALL), t AS (SELECT stage, " + ", ".join(f"coalesce(printf('%.3f', max(average) FILTER (modality = '{m}')), '') AS c_{m}" for m in J.CATEGORIES) + " FROM a GROUP BY stage) SELECT '| ' || stage || ' | ' || c_text || ' | ' || c_image || ' | ' || c_speech || ' | ' || c_joint || ' |' AS line FROM t")
 def stage_table_text(spark, sf):
-    t = S.stage_table(S.long_scores(results(spark, sf)))
+    t = S.stage_table(S.long_scores(scored(spark, sf)))
     return t.select(F.concat(F.lit("| "), F.concat_ws(" | ", F.col("stage").cast("string"), *[S.formatted(c, 3) for c in t.columns[1:]]), F.lit(" |")).alias("line"))
 
 
