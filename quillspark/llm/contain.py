@@ -11,6 +11,8 @@ STRONG, WEAK = 6, 3
 NEAR_ITEM, NEAR_TEXT = 12, 24
 #: Letters between two runs that are this similar count as the same wording (spelling or layout differs).
 ALIKE = 0.6
+#: Letters of a stretch that are compared at once.
+PART = 400
 
 
 def _blocks(item: list[str], text: list[str]) -> list[tuple[int, int, int]]:
@@ -54,14 +56,22 @@ def _chain(blocks: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def _gap(a: list[str], b: list[str]) -> float:
-    """How many words of ``a`` the stretch ``b`` stands for."""
+    """How many words of ``a`` the stretch ``b`` stands for.
+
+    Long stretches are compared in equal parts of about PART letters, so the cost is linear.
+    """
     if not a or not b:
         return 0.0
     x, y = "".join(a), "".join(b)
-    if len(x) > 400 or not 0.4 < len(x) / len(y) < 2.5:
+    if not 0.4 < len(x) / len(y) < 2.5:
         return 0.0
-    ratio = SequenceMatcher(None, x, y, autojunk=False).ratio()
-    return len(a) * ratio if ratio >= ALIKE else 0.0
+    parts = -(-len(x) // PART)
+    good = 0.0
+    for k in range(parts):
+        u, v = (t[len(t) * k // parts : len(t) * (k + 1) // parts] for t in (x, y))
+        ratio = SequenceMatcher(None, u, v, autojunk=False).ratio()
+        good += ratio if ratio >= ALIKE else 0.0
+    return len(a) * good / parts
 
 
 def share(item: list[str], text: list[str]) -> float:
@@ -91,11 +101,11 @@ def share(item: list[str], text: list[str]) -> float:
     for i, j, z in kept:
         if pi is None:
             head = item[:i]
-            covered += _gap(head, text[max(0, j - len(head) - len(head) // 4 - 1) : j]) if len(head) <= 40 else 0.0
+            covered += _gap(head, text[max(0, j - len(head) - len(head) // 4 - 1) : j])
         elif i > pi and j > pj:
             covered += _gap(item[pi:i], text[pj:j])
         covered += z - (max(0, pi - i, pj - j) if pi is not None else 0)
         pi, pj = i + z, j + z
     tail = item[pi:]
-    covered += _gap(tail, text[pj : pj + len(tail) + len(tail) // 4 + 1]) if len(tail) <= 40 else 0.0
+    covered += _gap(tail, text[pj : pj + len(tail) + len(tail) // 4 + 1])
     return min(1.0, covered / len(item))
