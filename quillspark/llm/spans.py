@@ -4,9 +4,9 @@
    the shortest run of neighbouring high-level symbols of SEED bytes or more.  A span of LEAST
    equal characters gives both texts the same seed, whatever stands around it.
 2. Seeds that two different texts share place exact windows of LEAST - STEP characters at every
-   STEP-th offset before the seed; equal windows are joined.  As a window is nearly as long as a
-   span, a join meets hardly a pair that is no case, however common a phrase is.
-3. The STEP characters on each side of two equal windows verify the span exactly.
+   STEP-th offset before the seed; equal windows are joined.
+3. The STEP characters on each side of two equal windows verify the span exactly.  Windows that many
+   texts have are first narrowed to exact spans, so a phrase just under LEAST pairs nobody.
 
 Exact copies of a text are one class and go through this once; they come back as members.
 """
@@ -26,6 +26,8 @@ from quillspark.session import read, table
 LEAST, SEED = 200, 64
 #: Distance between the windows of a seed.
 STEP = 40
+#: Rows of one window above which texts meet by exact windows only.
+HOT = 64
 #: Rows (8 bytes each) up to which the list of texts is broadcast; above, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -99,66 +101,95 @@ def _common(a: str, b: str, step: int, end: bool) -> str:
     return f"case when {a} = {b} then length({a}) else size(filter(sequence(1, {step}), k -> k <= least(length({a}), length({b})) and {cut}({a}, k) = {cut}({b}, k))) end"
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED, step: int = STEP, cls: DataFrame | None = None) -> DataFrame:
-    """(a, b, a_from, a_to, b_from, b_to): verified equal spans of ``least`` or more characters of two texts.
+class Shared:
+    """What texts share: windows that at least two different texts have.
 
-    One row per window of a span; the union of a pair's rows is all that the two share in such
-    spans.  a < b are class names.  Null, empty and shorter texts have none; repeated rows of a
-    key are one; other columns are ignored.
+    Windows of at most HOT rows are joined text by text and their ends compared.  A window of more
+    rows may be a phrase a little shorter than a span; there each text's LEAST-character windows
+    around it are named exactly (by the window and what stands before and after), so that only
+    texts that do share a span meet.
     """
-    cls = table(classes(docs, key, text), "span-classes") if cls is None else cls
-    copies = cls.where("doc_id <> class_id").select("doc_id")
-    texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t")).where(F.length("t") >= least)
-    texts = texts.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti")
-    found = table(seed_table(texts, seed), "span-seeds")
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    per_doc = table(found.join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "size")).alias("seeds")), "span-shared")
-    wanted = per_doc if per_doc.count() > BROADCAST_ROWS // 50 else F.broadcast(per_doc)
-    windows = texts.join(wanted, "doc_id").mapInArrow(_window_rows(least, step), "w bigint, doc_id bigint, pos int, before string, after string")
-    windows = table(windows, "span-windows")
-    a = windows.select("w", F.col("doc_id").alias("a"), F.col("pos").alias("pa"), F.col("before").alias("ba"), F.col("after").alias("fa"))
-    b = windows.select("w", F.col("doc_id").alias("b"), F.col("pos").alias("pb"), F.col("before").alias("bb"), F.col("after").alias("fb"))
-    met = a.join(b, "w").where("a < b")
-    ext = met.withColumn("l", F.expr(_common("ba", "bb", step, True))).withColumn("r", F.expr(_common("fa", "fb", step, False))).where(f"l + r >= {step}")
-    long = least - step
-    return ext.selectExpr("a", "b", "pa - l as a_from", f"pa + {long} + r as a_to", "pb - l as b_from", f"pb + {long} + r as b_to")
+
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED, step: int = STEP):
+        self.least, self.step = least, step
+        self.cls = table(classes(docs, key, text), "span-classes")
+        copies = self.cls.where("doc_id <> class_id").select("doc_id")
+        texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t")).where(F.length("t") >= least)
+        texts = texts.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti")
+        found = table(seed_table(texts, seed), "span-seeds")
+        shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
+        per_doc = table(found.join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "size")).alias("seeds")), "span-shared")
+        wanted = per_doc if per_doc.count() > BROADCAST_ROWS // 50 else F.broadcast(per_doc)
+        windows = table(texts.join(wanted, "doc_id").mapInArrow(_window_rows(least, step), "w bigint, doc_id bigint, pos int, before string, after string"), "span-windows")
+        sizes = windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("w", "n")
+        self.windows = table(windows.join(sizes, "w"), "span-common")
+
+    def cold(self) -> DataFrame:
+        """(a, b, a_from, a_to, b_from, b_to): verified equal spans of two texts, a < b, one row per window."""
+        own = self.windows.where(F.col("n") <= HOT)
+        a = own.select("w", F.col("doc_id").alias("a"), F.col("pos").alias("pa"), F.col("before").alias("ba"), F.col("after").alias("fa"))
+        b = own.select("w", F.col("doc_id").alias("b"), F.col("pos").alias("pb"), F.col("before").alias("bb"), F.col("after").alias("fb"))
+        met = a.join(b, "w").where("a < b")
+        ext = met.withColumn("l", F.expr(_common("ba", "bb", self.step, True))).withColumn("r", F.expr(_common("fa", "fb", self.step, False))).where(f"l + r >= {self.step}")
+        long = self.least - self.step
+        return ext.selectExpr("a", "b", "pa - l as a_from", f"pa + {long} + r as a_to", "pb - l as b_from", f"pb + {long} + r as b_to")
+
+    def hot(self) -> DataFrame:
+        """(x, doc_id, lo, n): exact LEAST-character windows that several texts have, by name, text and first character."""
+        s = self.step
+        own = self.windows.where(F.col("n") > HOT).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(s)))).where(f"length(before) >= j and length(after) >= {s} - j")
+        exact = own.select(F.expr(f"xxhash64(w, j, right(before, j), left(after, {s} - j))").alias("x"), "doc_id", F.expr("pos - j").alias("lo"))
+        many = exact.groupBy("x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count_distinct("doc_id").alias("n")).where("a < b").select("x", "n")
+        return exact.join(many, "x")
+
+    def links(self) -> DataFrame:
+        """(a, b): different texts that share a span, by their class names, a < b."""
+        x = self.hot().select("x", "doc_id").distinct()
+        met = x.select("x", F.col("doc_id").alias("a")).join(x.select("x", F.col("doc_id").alias("b")), "x").where("a < b")
+        return self.cold().select("a", "b").unionByName(met.select("a", "b")).distinct()
 
 
 def pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(doc_a, doc_b): every two documents that share ``least`` consecutive characters, copies included."""
-    cls = table(classes(docs, key, text), "span-classes")
-    links = spans(docs, key, text, least, cls=cls).select("a", "b").distinct()
-    x = cls.select(F.col("class_id").alias("a"), F.col("doc_id").alias("x"))
-    y = cls.select(F.col("class_id").alias("b"), F.col("doc_id").alias("y"))
-    between = links.join(x, "a").join(y, "b").select("x", "y")
+    """(doc_a, doc_b): every two documents that share ``least`` consecutive characters, copies included.
+
+    Null, empty and shorter texts have none; repeated rows of a key are one; other columns are
+    ignored; an empty table has no pairs.
+    """
+    shared = Shared(docs, key, text, least)
+    x = shared.cls.select(F.col("class_id").alias("a"), F.col("doc_id").alias("x"))
+    y = shared.cls.select(F.col("class_id").alias("b"), F.col("doc_id").alias("y"))
+    between = shared.links().join(x, "a").join(y, "b").select("x", "y")
     big = docs.select(F.col(key).cast("bigint").alias("a"), F.length(text).alias("n")).where(f"n >= {least}").select("a").distinct()
     within = x.join(big, "a").join(y.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
     return between.unionByName(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """One row per document: class_id, n_chars, shared_chars, share, partners.
+    """One row per document: class_id, class_size, n_chars, shared_chars, share, partners.
 
     shared_chars are the characters inside spans that stand in another document too; a document
-    with an exact copy is shared as a whole.  partners counts the other documents' classes that
-    it shares a span with; copies are told by class_size.
+    with an exact copy is shared as a whole.  partners counts other classes that it shares a span
+    with; spans of windows in more than HOT texts are not paired, there the largest set that has
+    one of them counts.  Copies are told by class_size.
     """
-    cls = table(classes(docs, key, text), "span-classes")
-    found = table(spans(docs, key, text, least, cls=cls), "spans")
+    shared = Shared(docs, key, text, least)
+    cls, found, hot = shared.cls, table(shared.cold(), "spans"), table(shared.hot(), "spans-hot")
     own = found.selectExpr("a as class_id", "b as other", "a_from as lo", "a_to as hi").unionByName(found.selectExpr("b as class_id", "a as other", "b_from as lo", "b_to as hi"))
+    all_ = own.select("class_id", "lo", "hi").unionByName(hot.selectExpr("doc_id as class_id", "lo", f"lo + {least} as hi"))
     # the union of the intervals, by the running end of those before
     order = Window.partitionBy("class_id").orderBy("lo", "hi")
     ended = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = own.groupBy("class_id", "lo").agg(F.max("hi").alias("hi")).withColumn("past", F.coalesce(ended, F.lit(0)))
+    fresh = all_.groupBy("class_id", "lo").agg(F.max("hi").alias("hi")).withColumn("past", F.coalesce(ended, F.lit(0)))
     covered = fresh.groupBy("class_id").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "past"))).alias("covered"))
-    partners = own.groupBy("class_id").agg(F.count_distinct("other").alias("partners"))
+    partners = own.groupBy("class_id").agg(F.count_distinct("other").alias("cold"))
+    widest = hot.groupBy(F.col("doc_id").alias("class_id")).agg((F.max("n") - 1).alias("hot"))
     sizes = cls.groupBy("class_id").agg(F.count("*").alias("class_size"))
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.length(text).cast("bigint").alias("n_chars")).where("doc_id is not null").groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
-    out = docs.join(cls, "doc_id", "left").join(sizes, "class_id", "left").join(covered, "class_id", "left").join(partners, "class_id", "left")
-    shared = F.when((F.col("class_size") > 1) & (F.col("n_chars") >= least), F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
+    out = docs.join(cls, "doc_id", "left").join(sizes, "class_id", "left").join(covered, "class_id", "left").join(partners, "class_id", "left").join(widest, "class_id", "left")
+    chars = F.when((F.col("class_size") > 1) & (F.col("n_chars") >= least), F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
     return out.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"), shared.cast("bigint").alias("shared_chars"),
-        F.coalesce(F.try_divide(shared.cast("double"), F.col("n_chars")), F.lit(0.0)).alias("share"), F.coalesce("partners", F.lit(0)).alias("partners"),
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"), chars.cast("bigint").alias("shared_chars"),
+        F.coalesce(F.try_divide(chars.cast("double"), F.col("n_chars")), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("cold", F.lit(0)), F.coalesce("hot", F.lit(0))).alias("partners"),
     )
 
 

@@ -44,6 +44,18 @@ def test_spans_equal_brute_force(spark):
     assert rep[15].shared_chars == 205 and rep[15].partners == 1
 
 
+def test_common_phrases_pair_nobody(spark, monkeypatch):
+    monkeypatch.setattr(spans, "HOT", 5)
+    foot = prose(77, 60)
+    short, long = foot[:190], foot[:230]
+    rows = [(k, prose(1000 + k, 40) + f" {k} " + short + f" {k}") for k in range(30)] + [(k, prose(2000 + k, 40) + f" {k} " + long + f" {k * 7}") for k in range(30, 45)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if common_span(a, b) >= 200}
+    assert {tuple(x) for x in spans.pairs(df).collect()} == want and len(want) >= 15 * 14 // 2
+    rep = {x.doc_id: x for x in spans.report(df).collect()}
+    assert all((rep[k].shared_chars > 0) == any(k in p for p in want) for k in range(45)) and rep[40].partners >= 14
+
+
 def test_recompression_finds_spans_of_exactly_the_least_length():
     import pyarrow as pa
 
