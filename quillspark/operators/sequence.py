@@ -205,12 +205,14 @@ def shuffled_mix(sources: list[tuple[DataFrame, float, int]], key: str, seed: in
     """Sources together, each with its ordinal as ``source``: min(int(total x ratio), number) rows, repeated in turn where that is more than all.
 
     Rows are ordered by a hash of seed and key within a source; ratio or number 0 skips the source.
-    Columns that a source lacks are null; a column ``id`` is dropped.
+    Columns that a source lacks are null; a column ``id`` is dropped; without any source left None.
     """
     from quillspark.functions.sampling import smallest, uniform
 
     out = None
     for n, (df, ratio, number) in enumerate(x for x in sources if x[1] and x[2]):
+        if out is None:  # sources without rows give their columns
+            out = df.drop("id").withColumn("source", F.lit(n)).where("false")
         total = df.count()
         used = min(int(total * ratio), number)
         if not total or not used:
@@ -218,7 +220,7 @@ def shuffled_mix(sources: list[tuple[DataFrame, float, int]], key: str, seed: in
         d = df.drop("id").withColumn("source", F.lit(n)).withColumn("_u", uniform(str(seed), F.lit(n), key)).withColumn("_k", F.lit(used % total)).withColumn("_g", F.lit(0))
         whole = d.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(used // total)))).drop("_rep") if used >= total else d.where("false")
         got = whole.unionByName(smallest(d, ["_g"], "_u", "_k", key)).drop("_u", "_k", "_g")
-        out = got if out is None else out.unionByName(got, allowMissingColumns=True)
+        out = out.unionByName(got, allowMissingColumns=True)
     return out
 
 

@@ -28,7 +28,7 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vec: str, k: int, blo
     matrix product per batch of rows, every task keeps k rows a query, and those are merged.
     """
     n = queries.count()
-    out = None
+    out = base.select(F.col(key).alias("query"), F.col(key).alias("key"), F.lit(0.0).alias("cosine")).where("false")
     q = queries.select(key, vec).where(f"{vec} is not null")
     for b in range(max(1, -(-n // block))):
         part = q.where(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // block)))) == b).toPandas()
@@ -59,7 +59,7 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vec: str, k: int, blo
                 yield pd.DataFrame({"query": qi[rows[ok]], "key": own[cols[ok]], "cosine": s[rows[ok], cols[ok]]})
 
         got = base.select(key, vec).mapInPandas(run, "query bigint, key bigint, cosine double")
-        out = got if out is None else out.unionByName(got)
+        out = out.unionByName(got)
     from pyspark.sql import Window
 
     w = Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 12)), "key")

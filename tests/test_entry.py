@@ -48,3 +48,10 @@ def test_query(spark, duck, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("kind", ["empty", "dirty"])
+def test_odd_tables(spark, tmp_path, kind):
+    from tests.dirty import failures, make
+
+    assert failures(spark, CORE, make(kind, str(tmp_path))) == []
