@@ -94,14 +94,14 @@ class Mix:
     """Plans for all mixes; sizes, shares and the documents of each."""
 
     def __init__(self, docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", path: str = RANKS):
-        """Null texts have size 0; null sources belong to no target but to the total; a key that comes again counts once."""
+        """Null texts have size 0, null shares and ratios are 0; null sources belong to no target but to the total; a key that comes again counts once."""
         picked = docs.select(F.col(key).cast("bigint").alias("doc_id"), source_name(F.col(source)).alias("name"), F.col(text).alias("t")).where("doc_id is not null")
         sized = token_counts(picked, ["doc_id", "name"], "t", path).groupBy("doc_id").agg(F.min("name").alias("name"), F.max("tokens").alias("length"))
         self.sized = table(sized, "mix-sizes")
         self.histogram = table(self.sized.groupBy("name", "length").agg(F.count("*").alias("n")), "mix-lengths")
         total = self.histogram.agg(F.coalesce(F.sum(F.col("length") * F.col("n")), F.lit(0))).collect()[0][0]
         self.total = int(total)
-        self.targets = targets.where("mix is not null and source is not null").withColumn("name", source_name(F.col("source"))).withColumn("wanted", F.col("target_share") * F.col("budget_ratio") * F.lit(float(self.total)))
+        self.targets = targets.where("mix is not null and source is not null").select("mix", "source", "target_share", "max_repeats", "budget_ratio").withColumn("name", source_name(F.col("source"))).withColumn("wanted", F.coalesce("target_share", F.lit(0.0)) * F.coalesce("budget_ratio", F.lit(0.0)) * F.lit(float(self.total)))
         asked = self.targets.groupBy("mix", "name").agg(F.sum("wanted").alias("wanted"), F.min("max_repeats").alias("max_repeats")).withColumn("budget", F.floor(F.col("wanted") + 1e-6))
         joined = self.histogram.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, "name")
         planned = joined.select("mix", "name", "length", "n", "max_repeats", "budget").groupBy("mix", "name").applyInPandas(_plan, "mix string, name string, length bigint, n bigint, passes bigint, extra bigint")
