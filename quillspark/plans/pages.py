@@ -61,7 +61,7 @@ def http_urls(spark, sf):
     return _index(spark, sf).where("sample_path is not null").select("id", O.http_url(F.lit("http://h/x//"), "sample_path").alias("url"))
 
 
-@query("unwrapped_metadata")
+@query("unwrapped_metadata", "WITH s AS (SELECT sample_path, arg_max(body, written_at) AS body FROM sample_files GROUP BY sample_path) SELECT sample_path, CASE WHEN json_valid(body) THEN coalesce(body->'$.metadata.metadata', body->'$.metadata')->>'topic' END AS topic FROM s")
 def unwrapped_metadata(spark, sf):
     """The topic of each sample, in however many wrappers."""
     v = F.try_parse_json("body")

@@ -63,7 +63,11 @@ def unsafe_paths(spark, sf):
     return read(spark, sf, "dataset").where(K.path_problem("sample_path").isNotNull()).select("id", "sample_path")
 
 
-@query("json_object_lists")
+_OBJECTS = lambda c: f"coalesce(CASE WHEN json_valid({c}) AND json_type({c}) = 'ARRAY' THEN len(list_filter(json_extract({c}, '$[*]'), lambda x: json_type(x) <> 'OBJECT')) = 0 ELSE false END, false)"
+_PATH = lambda c: f"regexp_replace(regexp_replace(trim({c}), '[\\\\/]+', '/', 'g'), '^(\\./)+', '')"
+
+
+@query("json_object_lists", f"SELECT DISTINCT id, {_OBJECTS('condition_characters')} AS condition_ok, {_OBJECTS('book_characters')} AS book_ok FROM dataset")
 def json_object_lists(spark, sf):
     """Which character columns are strict JSON lists of objects."""
     return read(spark, sf, "dataset").select("id", K.is_object_list("condition_characters").alias("condition_ok"), K.is_object_list("book_characters").alias("book_ok")).distinct()
@@ -116,7 +120,7 @@ def nested_entries(spark, sf):
     return d.select("id", "current_page.image_path", "current_page.text", "metadata.metadata.genre")
 
 
-@query("sample_equality")
+@query("sample_equality", f"WITH s AS (SELECT path, arg_max(body, written_at) AS body FROM (SELECT {_PATH('sample_path')} AS path, body, written_at FROM sample_files WHERE sample_path IS NOT NULL) GROUP BY path), d AS (SELECT DISTINCT id, source, book, from_key, {_PATH('sample_path')} AS path FROM dataset WHERE id IS NOT NULL AND sample_path IS NOT NULL) SELECT id, body IS NOT NULL AS has_file, coalesce(CASE WHEN json_valid(body) THEN body->>'$.id' = id AND body->>'$.source' = source AND body->>'$.book' = book AND body->>'$.prev_key' = from_key END, false) AS agrees FROM d LEFT JOIN s USING (path)")
 def sample_equality(spark, sf):
     """Index rows against their sample files: identity fields that agree. Files that don't parse don't agree."""
     d = _index(spark, sf).where("sample_path is not null").select("id", "source", "book", "from_key", N.canonical_path(F.col("sample_path")).alias("path"))
@@ -127,7 +131,7 @@ def sample_equality(spark, sf):
     return j.select("id", F.col("body").isNotNull().alias("has_file"), F.coalesce((F.col("_id") == F.col("id")) & (get("source") == F.col("source")) & (get("book") == F.col("book")) & (get("prev_key") == F.col("from_key")), F.lit(False)).alias("agrees"))
 
 
-@query("ground_truth_lines")
+@query("ground_truth_lines", f"WITH s AS (SELECT path, arg_max(body, written_at) AS body FROM (SELECT {_PATH('sample_path')} AS path, body, written_at FROM sample_files WHERE sample_path IS NOT NULL) GROUP BY path), p AS (SELECT path, CASE WHEN json_valid(body) THEN body->'$.speech_metadata_next_page.parsed' END AS p FROM s), k AS (SELECT path, p, unnest(json_keys(p)) AS k FROM p WHERE json_type(p) = 'OBJECT'), n AS (SELECT path, string_agg(trim(p->k->>'line'), ' ' ORDER BY regexp_extract(k, '[0-9]+$')::INT) AS lines FROM k WHERE regexp_matches(k, '^speaker_[0-9]+$') GROUP BY path) SELECT path, coalesce(nullif(trim(p->'speaker'->>'line'), ''), nullif(lines, ''), '') AS line FROM p LEFT JOIN n USING (path)")
 def ground_truth_lines(spark, sf):
     """The spoken line of each sample: one speaker's, else all numbered speakers' in order."""
     s = read(spark, sf, "sample_files").where("sample_path is not null").groupBy(N.canonical_path(F.col("sample_path")).alias("path")).agg(F.max_by("body", "written_at").alias("body"))
