@@ -164,32 +164,55 @@ def pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     return between.unionByName(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
+def partners(cold: DataFrame, hot: DataFrame) -> DataFrame:
+    """(class_id, partners): with how many other texts each one shares a span; ``cold`` has (a, b), ``hot`` (x, doc_id).
+
+    The same as counting links() by text, but texts with the same set of hot spans are one row: each
+    distinct set counts the texts of the sets that it meets.  A cold link is counted where the sets of its
+    two texts don't meet.
+    """
+    hot = hot.select("x", "doc_id").distinct()
+    # spans that the same texts have are one; sets are told by 128 bits, as texts are
+    alike = hot.groupBy("x").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("u"), F.sum(F.xxhash64(F.lit(1), "doc_id").cast("decimal(38,0)")).alias("v"))
+    spans = hot.join(alike.groupBy("n", "u", "v").agg(F.min("x").alias("x")).select("x"), "x")
+    owned = table(spans.groupBy("doc_id").agg(F.sort_array(F.collect_set("x")).alias("xs")).withColumn("m", F.md5(F.array_join(F.col("xs").cast("array<string>"), ","))), "span-sets")
+    sets = owned.groupBy("m").agg(F.min("doc_id").alias("s"), F.count("*").alias("n"), F.first("xs").alias("xs"))
+    sets = table(sets, "span-sets-distinct")
+    has = sets.select("s", "n", F.explode("xs").alias("x"))
+    met = table(has.select("x", "s").join(has.select("x", F.col("s").alias("t"), "n"), "x").select("s", "t", "n").distinct(), "span-sets-met")
+    member = owned.join(sets.select("m", "s"), "m").select("doc_id", "s")
+    many = member.join(met.groupBy("s").agg((F.sum("n") - 1).alias("n")), "s").select(F.col("doc_id").alias("class_id"), "n")
+    links = cold.select("a", "b").distinct()
+    links = links.join(member.select(F.col("doc_id").alias("a"), "s"), "a", "left").join(member.select(F.col("doc_id").alias("b"), F.col("s").alias("t")), "b", "left")
+    links = links.join(met.select("s", "t"), ["s", "t"], "left_anti")
+    few = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n"))
+    return many.unionByName(few).groupBy("class_id").agg(F.sum("n").alias("partners"))
+
+
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """One row per document: class_id, class_size, n_chars, shared_chars, share, partners.
 
     shared_chars are the characters inside spans that stand in another document too; a document
     with an exact copy is shared as a whole.  partners counts other classes that it shares a span
-    with; spans of windows in more than HOT texts are not paired, there the largest set that has
-    one of them counts.  Copies are told by class_size.
+    with, each once, however many texts have the span.  Copies are told by class_size.
     """
     shared = Shared(docs, key, text, least)
     cls, found, hot = shared.cls, table(shared.cold(), "spans"), table(shared.hot(), "spans-hot")
-    own = found.selectExpr("a as class_id", "b as other", "a_from as lo", "a_to as hi").unionByName(found.selectExpr("b as class_id", "a as other", "b_from as lo", "b_to as hi"))
-    all_ = own.select("class_id", "lo", "hi").unionByName(hot.selectExpr("doc_id as class_id", "lo", f"lo + {least} as hi"))
+    own = found.selectExpr("a as class_id", "a_from as lo", "a_to as hi").unionByName(found.selectExpr("b as class_id", "b_from as lo", "b_to as hi"))
+    all_ = own.unionByName(hot.selectExpr("doc_id as class_id", "lo", f"lo + {least} as hi"))
     # the union of the intervals, by the running end of those before
     order = Window.partitionBy("class_id").orderBy("lo", "hi")
     ended = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = all_.groupBy("class_id", "lo").agg(F.max("hi").alias("hi")).withColumn("past", F.coalesce(ended, F.lit(0)))
     covered = fresh.groupBy("class_id").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "past"))).alias("covered"))
-    partners = own.groupBy("class_id").agg(F.count_distinct("other").alias("cold"))
-    widest = hot.groupBy(F.col("doc_id").alias("class_id")).agg((F.max("n") - 1).alias("hot"))
+    linked = partners(found, hot)
     sizes = cls.groupBy("class_id").agg(F.count("*").alias("class_size"))
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.length(text).cast("bigint").alias("n_chars")).where("doc_id is not null").groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
-    out = docs.join(cls, "doc_id", "left").join(sizes, "class_id", "left").join(covered, "class_id", "left").join(partners, "class_id", "left").join(widest, "class_id", "left")
+    out = docs.join(cls, "doc_id", "left").join(sizes, "class_id", "left").join(covered, "class_id", "left").join(linked, "class_id", "left")
     chars = F.when((F.col("class_size") > 1) & (F.col("n_chars") >= least), F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
     return out.select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"), chars.cast("bigint").alias("shared_chars"),
-        F.coalesce(F.try_divide(chars.cast("double"), F.col("n_chars")), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("cold", F.lit(0)), F.coalesce("hot", F.lit(0))).alias("partners"),
+        F.coalesce(F.try_divide(chars.cast("double"), F.col("n_chars")), F.lit(0.0)).alias("share"), F.coalesce("partners", F.lit(0)).alias("partners"),
     )
 
 

@@ -56,6 +56,24 @@ def test_common_phrases_pair_nobody(spark, monkeypatch):
     assert all((rep[k].shared_chars > 0) == any(k in p for p in want) for k in range(45)) and rep[40].partners >= 14
 
 
+@pytest.mark.parametrize("hot", [3, 64])
+def test_partners_are_the_links_of_each_text(spark, monkeypatch, hot):
+    """Disjoint and overlapping hot passages, hot and cold ones in one text, and copies: the same above and below HOT."""
+    monkeypatch.setattr(spans, "HOT", hot)
+    one, two, three = prose(501, 60)[:240], prose(502, 60)[:240], prose(503, 60)[:240]
+    parts = [[one]] * 6 + [[two]] * 5 + [[one, two]] * 2 + [[two, three]] + [[three]] * 2 + [[]]
+    rows = [(k, " ".join([prose(3000 + k, 20), *(f"{x} {k} {prose(3100 + k, 5)}" for x in p)])) for k, p in enumerate(parts)]
+    rows.append((50, rows[0][1]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pairs = [(i, j) for (i, a), (j, b) in itertools.combinations(rows[:-1], 2) if common_span(a, b) >= 200]
+    want = {k: sum(k in p for p in pairs) for k, _ in rows[:-1]}
+    rep = {x.doc_id: x.partners for x in spans.report(df).collect()}
+    assert rep == want | {50: want[0]} and want[11] == 13 and want[0] == 7 and want[13] == 9 and want[16] == 0
+    shared = spans.Shared(df)
+    links = shared.links().collect()
+    assert {k: n for k, n in want.items() if n} == {k: sum(k in p for p in map(tuple, links)) for k in {i for p in links for i in p}}
+
+
 def test_recompression_finds_spans_of_exactly_the_least_length():
     import pyarrow as pa
 
