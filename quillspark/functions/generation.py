@@ -15,6 +15,7 @@ from quillspark.functions.judgejson import readings
 SPEAKER = {"name": "Narrator", "emotion": "neutral", "speed": "normal", "pitch": "normal", "gender": "female"}
 
 _QUOTED = re.compile(r'"([^"]+)"|“([^”]+)”|\'([^\']+)\'')
+_LABELLED = {"narration": re.compile(r"(?is)(?:^|\n)\s*narration\s*:\s*(.+?)(?=(?:\n\s*speech\s*:)|\Z)"), "speech": re.compile(r"(?is)(?:^|\n)\s*speech\s*:\s*(.+?)\s*$")}
 _LEAD = re.compile(r"^\s*(?:narration|speech)\s*:\s*", re.I)
 
 
@@ -42,8 +43,10 @@ def narration_and_speech(answer: str | None) -> tuple[str, str]:
                 got = next((value[n] for n in names if isinstance(value.get(n), str)), "")
                 found[key] = found[key] or _flat(got)
             break
-    for m in re.finditer(r"(?ims)^\s*(narration|speech)\s*:\s*(.+?)(?=^\s*speech\s*:|\Z)", text):
-        found[m.group(1).lower()] = _flat(m.group(2))
+    # a narration ends at the next speech, the first speech at the end of the answer
+    for key, label in _LABELLED.items():
+        if m := label.search(text):
+            found[key] = _flat(m.group(1))
     spans = [_flat("".join(s)) for s in _QUOTED.findall(text) if "".join(s).strip()]
     if not found["speech"] and spans:
         found["speech"] = spans[-1]
@@ -53,9 +56,10 @@ def narration_and_speech(answer: str | None) -> tuple[str, str]:
         if len(lines) > 1 and not found["speech"]:
             found["speech"] = lines[1]
     narration, speech = _one_pair(found["narration"]), _one_pair(found["speech"])
-    head, _, rest = narration.partition(". ")
+    narration = _flat(narration)
+    head, *rest = re.split(r"(?<=[.!?])\s+", narration, maxsplit=1)
     if rest and head.lower().startswith(T.META_OPENINGS):
-        narration = rest
+        narration = rest[0]
     if speech and narration:
         narration = _flat(narration.replace(f'"{speech}"', "").replace(f"“{speech}”", ""))
     return narration or _flat(text), speech

@@ -88,6 +88,16 @@ def answer_parse(spark, sf):
     return d.select("id", r.alias("r")).select("id", "r.narration", "r.speech")
 
 
+@query("answer_parse_all")
+def answer_parse_all(spark, sf):
+    """The same over all rows: quotes, braces, colons, and answers of which a part is blank or null."""
+    d = read(spark, sf, "dataset")
+    plain = F.concat_ws("\n", F.concat(F.lit("Narration: "), "scene"), F.concat(F.lit("Speech: "), "ambient_sound"))
+    as_json = F.to_json(F.struct(F.col("scene").alias("narration"), F.col("ambient_sound").alias("speech")))
+    r = G.narration_speech_column(F.when(F.length("id") % 2 == 0, plain).otherwise(as_json))
+    return d.select("id", r.alias("r")).select("id", "r.narration", "r.speech").distinct()
+
+
 @query("first_pairs", "SELECT doc_id, 'a ' || kind AS narration, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'second' END AS speech FROM (SELECT doc_id, kind, trim(source) AS source FROM documents WHERE kind IS NOT NULL AND source IS NOT NULL)")
 def first_pairs(spark, sf):
     d = read(spark, sf, "documents").where("kind is not null and source is not null")

@@ -77,6 +77,14 @@ def plan_field_extract(spark, sf):
     return d.select("id", got["speaker"].alias("speaker"), got["narration"].alias("narration"), got["speech"].alias("speech")).distinct()
 
 
+@query("plan_field_extract_all")
+def plan_field_extract_all(spark, sf):
+    """The same over all rows: what is null has no line in its plan, and labels inside the fields end them."""
+    plan = F.concat_ws("\n", F.concat(F.lit("NARRATION: "), "next_text"), F.concat(F.lit("SPEAKER: "), "speech_speaker"), F.concat(F.lit("speech : "), "speech_utterance"))
+    got = T.plan_fields(plan)
+    return read(spark, sf, "dataset").select("id", got["speaker"].alias("speaker"), got["narration"].alias("narration"), got["speech"].alias("speech")).distinct()
+
+
 @query("strip_meta_lead", f"""SELECT doc_id, CASE WHEN lead THEN trim(substr(t, length(first) + 1)) ELSE t END AS text FROM (SELECT doc_id, t, first, first <> '' AND (starts_with(lower(first), 'write a sentence') OR starts_with(lower(first), 'here is the narration')) AS lead FROM (SELECT doc_id, t, regexp_extract(t, '^(?:[^.!?]|[.!?][^ .!?])*[.!?]+ ') AS first FROM (SELECT doc_id, {sql_collapse("CASE doc_id % 3 WHEN 0 THEN 'Here is the narration for it. ' WHEN 1 THEN 'Write a sentence! ' ELSE '' END || text")} AS t FROM documents WHERE text IS NOT NULL)))""")
 def strip_meta_lead(spark, sf):
     d = read(spark, sf, "documents").where("text is not null")

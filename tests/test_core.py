@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -186,6 +187,78 @@ def test_text_functions_equal_python(spark):
     assert got[11].th == "b" and got[12].d == "Bold"
 
 
+PIECES = ["listen: hush", "he said \"go\" twice", "Speech: later", "narration : again", "'all of it'", '"all of it"', "{a: 1}", '{"narration": "x", "speech": "y"}', "a plain line.", "Write a sentence! then", "", "  ", "\u00a0Über: x", "\u00a0label : y", "x\rlabel: z", "IMAGE_PROMPT: p", "“curly”", "back\\slash", "two  spaces\tand"]
+
+
+def pieces(seed):
+    r = random.Random(seed)
+    return None if r.random() < 0.1 else "\n".join(r.choices(PIECES, k=r.randint(1, 3)))
+
+
+def dataset(spark, path, columns):
+    rows = [(f"i{k}" if k % 31 else None, *(pieces(7 * k + n) for n in range(len(columns)))) for k in range(300)]
+    rows += [(f"s{'x' * (k % 2)}{k}", *([p] * len(columns))) for k, p in enumerate(PIECES)]
+    spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("id", *columns))).write.parquet(f"{path}/dataset.parquet")
+    return rows
+
+
+def test_plans_with_labels_equal_a_plain_loop(spark, tmp_path):
+    from quillspark.plans.texts import plan_field_extract_all
+
+    def field(text, name):
+        m = re.search(rf"(?ims)^\s*{name}\s*:\s*(.*?)(?=^\s*[A-Z_]+\s*:|\Z)", text)
+        return " ".join(m.group(1).strip().strip('"').strip("'").split()) if m else ""
+
+    want = set()
+    for key, *parts in dataset(spark, tmp_path, ["next_text", "speech_speaker", "speech_utterance"]):
+        plan = "\n".join(a + p for a, p in zip(("NARRATION: ", "SPEAKER: ", "speech : "), parts) if p is not None)
+        want.add((key, field(plan, "SPEAKER"), field(plan, "NARRATION"), field(plan, "SPEECH")))
+    assert {tuple(x) for x in plan_field_extract_all(spark, str(tmp_path)).collect()} == want
+
+
+def test_answers_with_marks_equal_a_plain_loop(spark, tmp_path):
+    from quillspark.plans.pages import answer_parse_all
+
+    def flat(s):
+        return " ".join(s.split())
+
+    def bare(s):
+        return s[1:-1].strip() if len(s) >= 2 and s[0] == s[-1] and s[0] in "\"'" else s
+
+    def parse(text):
+        narration = speech = ""
+        if m := re.search(r"(?s)\{.*\}", text):
+            try:
+                got = json.loads(m.group(0))
+                narration, speech = flat(got.get("narration", "")), flat(got.get("speech", got.get("speech_text", "")))
+            except json.JSONDecodeError:
+                pass
+        if m := re.search(r"(?is)(?:^|\n)\s*narration\s*:\s*(.+?)(?=(?:\n\s*speech\s*:)|\Z)", text):
+            narration = flat(m.group(1))
+        if m := re.search(r"(?is)(?:^|\n)\s*speech\s*:\s*(.+?)\s*$", text):
+            speech = flat(m.group(1))
+        spans = ["".join(s) for s in re.findall(r'"([^"]+)"|“([^”]+)”|\'([^\']+)\'', text)]
+        speech = speech or ([flat(s) for s in spans if s.strip()] or [""])[-1]
+        lines = [x for x in (flat(re.sub(r"(?i)^\s*(narration|speech)\s*:\s*", "", line.strip())) for line in text.splitlines()) if x]
+        if not narration:
+            narration = lines[0] if lines else ""
+            speech = speech or (lines[1] if len(lines) > 1 else "")
+        narration, speech = flat(bare(narration)), bare(speech)
+        first, *rest = re.split(r"(?<=[.!?])\s+", narration, maxsplit=1)
+        narration = rest[0] if rest and first.lower().startswith(T.META_OPENINGS) else narration
+        if speech and narration:
+            narration = flat(narration.replace(f'"{speech}"', "").replace(f"“{speech}”", ""))
+        return narration or flat(text), speech
+
+    want = set()
+    for key, scene, sound in dataset(spark, tmp_path, ["scene", "ambient_sound"]):
+        plain = "\n".join(a + p for a, p in (("Narration: ", scene), ("Speech: ", sound)) if p is not None)
+        as_json = json.dumps({k: v for k, v in (("narration", scene), ("speech", sound)) if v is not None}, ensure_ascii=False, separators=(",", ":"))
+        want.add((key, *parse(plain if key and len(key) % 2 == 0 else as_json)))
+    got = {tuple(x) for x in answer_parse_all(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_natural_order(spark):
     names = ["page_10.txt", "page_2.txt", "Page_2b.txt", "page_002.txt", "a"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
