@@ -8,7 +8,8 @@ Prefix-filtered set join over word shingles:
    document with enough of them must meet is joined;
 3. hits are bounded by position: a document is a candidate for an item if enough of the
    item's prefix stands within a window of the item's size;
-4. each candidate's text is compared with the item over item-sized windows.
+4. each candidate's text is compared with the item over item-sized windows, and as a whole if
+   none of them holds enough.
 """
 
 from __future__ import annotations
@@ -137,7 +138,14 @@ def _short(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def _verify(batches):
+def _verify(least: float):
+    def run(batches):
+        yield from _shares(batches, least)
+
+    return run
+
+
+def _shares(batches, least: float):
     import re
 
     from quillspark.llm.contain import share
@@ -157,11 +165,13 @@ def _verify(batches):
             all_ = word.findall(text[n])
             size, best = len(own), 0.0
             at, end = max(0, lo[n] - size), min(len(all_), hi[n] + K + size)
-            while True:  # windows of four items, half overlapping; any case lies in one with all its stretches near
+            while True:  # windows of four items, half overlapping; most cases lie in one with all their stretches
                 best = max(best, share(own, all_[at : min(end, at + 4 * size)]))
                 if at + 4 * size >= end:
                     break
                 at += 2 * size
+            if best < least and len(all_) > 4 * size:  # stretches further apart add up over the whole text
+                best = max(best, share(own, all_))
             got.append(best)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), pa.array(got, pa.float64())], names=["doc_id", "item_id", "share"])
 
@@ -178,7 +188,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text:
     found = table(candidates(docs, items, "doc_id", "t", "item_id", "i"), "leak-candidates")
     wanted = found if found.count() > BROADCAST_ROWS else F.broadcast(found)
     pairs = docs.join(wanted, "doc_id").join(items, "item_id").select("doc_id", "item_id", "t", "i", "lo", "hi")
-    got = pairs.mapInArrow(_verify, "doc_id bigint, item_id bigint, share double")
+    got = pairs.mapInArrow(_verify(share), "doc_id bigint, item_id bigint, share double")
     short = _short(docs, items, K)
     got = got.where(F.col("share") >= share)
     return (got if short is None else got.unionByName(short)).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))

@@ -134,6 +134,16 @@ def test_leaks_equal_brute_force(spark):
     assert {(1, 0), (2, 1), (3, 2), (5, 3), (6, 4), (8, 6)} <= got and (4, 2) not in got
 
 
+def test_leaks_add_up_over_a_long_text(spark):
+    """Two stretches of a third of an item each, in order, twenty item lengths apart; one of them alone is no case."""
+    w = prose(300, 60).split()
+    far = prose(301, 1200)
+    docs = [(1, " ".join([prose(302, 30), *w[:20], far, *w[40:], prose(303, 30)])), (2, " ".join([prose(302, 30), *w[:20], far])), (3, " ".join([*w[40:], far, *w[:20]]))]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(0, " ".join(w))], "item_id bigint, text string")
+    got = {x.doc_id: x.share for x in leaks.leaks(d, i).collect()}
+    assert set(got) == {1} and 0.6 <= got[1] < 0.8
+
+
 def test_leaks_odd_input(spark):
     d = "doc_id bigint, text string, h string, item_id bigint, share double, words int"
     i = "item_id bigint, text string, doc_id bigint, h string"
