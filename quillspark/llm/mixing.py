@@ -72,6 +72,12 @@ def plan_lengths(lengths: list[int], counts: list[int], budget: int, repeats: in
             more = min(counts[k] - extra[k], (left - last) // lengths[k] + 1, left // lengths[k])
             extra[k] += more
             left -= more * lengths[k]
+    # texts longer than the knapsack is wide: single ones while one fits
+    for k in order:
+        if left > 4 * LAST_TOKENS:
+            more = min(counts[k] - extra[k], -(-(left - 4 * LAST_TOKENS) // lengths[k]), left // lengths[k])
+            extra[k] += more
+            left -= more * lengths[k]
     small = [k for k in order if extra[k] < counts[k] and lengths[k] <= left]
     fill = knapsack([lengths[k] for k in small], [counts[k] - extra[k] for k in small], min(left, 4 * LAST_TOKENS))
     for k, n in zip(small, fill):

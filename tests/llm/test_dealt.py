@@ -318,6 +318,19 @@ def test_plan_lengths_fills_budgets():
     assert mixing.plan_lengths([], [], 5, 2) == (0, []) and mixing.plan_lengths([3], [1], 0, 2) == (0, [0])
 
 
+def test_plan_lengths_of_very_long_texts():
+    assert mixing.plan_lengths([150_000], [10], 450_000 + 299_999, 1) == (0, [4])
+    assert mixing.plan_lengths([150_000, 150_001], [1, 1], 299_999, 1)[1] in ([1, 0], [0, 1])
+    r = random.Random(9)
+    for _ in range(30):
+        lengths = sorted(r.sample(range(70_000, 400_000), 8))
+        counts = [r.randint(1, 4) for _ in lengths]
+        budget = r.randint(1, sum(a * n for a, n in zip(lengths, counts)))
+        passes, extra = mixing.plan_lengths(lengths, counts, budget, 1)
+        left = budget - sum(a * (n * passes + e) for a, n, e in zip(lengths, counts, extra))
+        assert left >= 0 and (passes or all(e <= n and (e == n or a > left) for a, n, e in zip(lengths, counts, extra)))
+
+
 def test_mix(spark):
     docs = spark.createDataFrame([(k, prose(k, 20 + k % 30), " Tales" if k % 4 else "notes ", "x", 1) for k in range(200)] + [(500, None, "tales", "x", 1), (501, "", None, "x", 1), (1, prose(1, 21), " Tales", "x", 1)], "doc_id bigint, text string, source string, mix string, length int")
     t = "mix string, source string, target_share double, max_repeats int, budget_ratio double"
