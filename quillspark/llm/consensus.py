@@ -2,25 +2,28 @@
 
 Judges have confusion matrices, items have posteriors over the scores; both are estimated together
 by expectation-maximisation (Dawid and Skene) with smoothed counts.  An item's votes are gathered
-once; every round reads that table, sends the judges' matrices to the tasks (their size is judges
-x scores x scores) and brings back only sums of that same size, so no round shuffles anything.
-Agreement is measured apart from the model, corrected for chance.
+once; every round reads that table once, sends the judges' matrices to the tasks (their size is
+judges x scores x scores) and shuffles one sum of that same size per task.  Where there are too many
+judges to send their matrices, the same rounds go as joins: votes meet their judge's row of the
+matrix, items their votes.  Agreement is measured apart from the model, corrected for chance.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.skew import lookup_join
+from quillspark.operators.contracts import ordinals
 from quillspark.session import table
 
 #: Scores run from 1 to this.
 TOP = 10
 ROUNDS, SMOOTH, ENOUGH = 30, 0.5, 1e-4
-#: Judges whose matrices are estimated; their sums are all that reaches the driver (8 MB at this bound).
-MOST_JUDGES = 10_000
+#: Judges up to which the matrices are sent to the tasks (8 MB at this bound); above, they stay a table.
+SENT_JUDGES = 10_000
 
 
 def long_votes(results: DataFrame) -> DataFrame:
@@ -66,8 +69,8 @@ def _first(judge, score, sizes) -> np.ndarray:
 
 def _sums(params, judges: int):
     def run(batches):
-        total = np.zeros((judges, TOP, TOP))
-        prior, loglik = np.zeros(TOP), 0.0
+        sums = np.zeros(TOP + judges * TOP * TOP)  # the prior and then the matrices
+        prior, total = sums[:TOP], sums[TOP:].reshape(judges, TOP, TOP)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -75,7 +78,7 @@ def _sums(params, judges: int):
             p = _first(judge, score, sizes) if params is None else _posterior(judge, score, sizes, *params.value)
             prior += p.sum(axis=0)
             np.add.at(total, (judge, slice(None), score), np.repeat(p, sizes, axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array([prior.tolist()]), pa.array([total.ravel().tolist()])], names=["prior", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array([sums])], names=["sums"])
 
     return run
 
@@ -85,13 +88,12 @@ def fit(items: DataFrame, judges: int, rounds: int = ROUNDS) -> tuple[np.ndarray
     sc = items.sparkSession.sparkContext
     params, now = None, None
     for _ in range(rounds):
-        got = items.select("votes").mapInArrow(_sums(params, judges), "prior array<double>, total array<double>")
-        got = got.select(F.posexplode("prior").alias("at", "x"), F.lit(0).alias("part")).unionByName(got.select(F.posexplode("total").alias("at", "x"), F.lit(1).alias("part"))).groupBy("part", "at").agg(F.sum("x").alias("x")).toArrow()
-        prior, total = np.zeros(TOP), np.zeros(judges * TOP * TOP)
-        part, at, x = (got[c].to_numpy() for c in ("part", "at", "x"))
-        prior[at[part == 0]], total[at[part == 1]] = x[part == 0], x[part == 1]
+        got = items.select("votes").mapInArrow(_sums(params, judges), "sums array<double>")
+        got = got.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        sums = np.zeros(TOP + judges * TOP * TOP)
+        sums[got["at"].to_numpy()] = got["x"].to_numpy()
+        prior, total = sums[:TOP], sums[TOP:].reshape(judges, TOP, TOP)
         prior = (prior + SMOOTH) / (prior + SMOOTH).sum()
-        total = total.reshape(judges, TOP, TOP)
         # what a judge gives, whatever the item, smooths the rows of which little is known
         given = total.sum(axis=1, keepdims=True) + 1.0 / TOP
         smooth = total + SMOOTH * TOP * given / given.sum(axis=2, keepdims=True)
@@ -103,28 +105,84 @@ def fit(items: DataFrame, judges: int, rounds: int = ROUNDS) -> tuple[np.ndarray
     return params.value
 
 
+SCORES = range(TOP)
+
+
+def fit_table(items: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, list[float]]:
+    """((number, score, c0..c9), log prior): the same as fit() for any number of judges, by joins.
+
+    A row holds the logarithms of confusion[judge, true, given = score] over all true scores.
+    """
+    votes = table(items.select("item", F.explode("votes").alias("v")).select("item", F.expr(f"v div {TOP}").alias("number"), F.expr(f"int(v % {TOP})").alias("score")), "consensus-long")
+    many = [F.count_if(F.col("score") == k).alias(f"n{k}") for k in SCORES]
+    first = votes.groupBy("item").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("score")).alias("s"), *many)
+    middle = F.element_at("s", F.expr("int((n - 1) div 2) + 1"))
+    post = first.select("item", *[((F.col(f"n{k}") + F.when(middle == k, 0.5).otherwise(0.0)) / (F.col("n") + 0.5)).alias(f"p{k}") for k in SCORES])
+    conf, now = None, None
+    for _ in range(rounds):
+        if conf is not None:
+            post = posterior(votes, conf, prior)  # noqa: F821
+        post = table(post, "consensus-posterior")
+        mass = post.agg(*[F.coalesce(F.sum(f"p{k}"), F.lit(0.0)) + SMOOTH for k in SCORES]).collect()[0]
+        prior = np.log(np.array(mass) / sum(mass)).tolist()
+        total = votes.join(post, "item").groupBy("number", "score").agg(*[F.sum(f"p{k}").alias(f"p{k}") for k in SCORES])
+        every = total.select("number").distinct().select("number", F.explode(F.array(*map(F.lit, SCORES))).alias("score"))
+        total = every.join(total, ["number", "score"], "left").fillna(0.0)
+        judge = Window.partitionBy("number")
+        given = sum((F.col(f"p{k}") for k in SCORES[1:]), F.col("p0")) + 1.0 / TOP
+        total = total.withColumn("given", given).withColumn("add", SMOOTH * TOP * F.col("given") / F.sum("given").over(judge))
+        total = total.select("number", "score", *[(F.col(f"p{k}") + F.col("add")).alias(f"p{k}") for k in SCORES])
+        last, now = now, table(total.select("number", "score", *[F.log(F.col(f"p{k}") / F.sum(f"p{k}").over(judge)).alias(f"c{k}") for k in SCORES]), "consensus-matrices")
+        conf = now
+        if last is not None:
+            gap = now.join(last.select("number", "score", *[F.col(f"c{k}").alias(f"d{k}") for k in SCORES]), ["number", "score"])
+            most = gap.agg(F.max(F.greatest(*[F.abs(F.exp(f"c{k}") - F.exp(f"d{k}")) for k in SCORES]))).collect()[0][0]
+            if most is None or most < ENOUGH:
+                break
+    return conf, prior
+
+
+def posterior(votes: DataFrame, conf: DataFrame, prior: list[float]) -> DataFrame:
+    """(item, p0..p9) of each item from the rows of its votes' judges."""
+    met = lookup_join(votes, conf, ["number", "score"], F.col("item"))
+    sums = met.groupBy("item").agg(*[(F.sum(f"c{k}") + F.lit(prior[k])).alias(f"l{k}") for k in SCORES])
+    top = F.greatest(*[F.col(f"l{k}") for k in SCORES])
+    sums = sums.select("item", *[F.exp(F.col(f"l{k}") - top).alias(f"e{k}") for k in SCORES])
+    whole = sum((F.col(f"e{k}") for k in SCORES[1:]), F.col("e0"))
+    return sums.select("item", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in SCORES])
+
+
 class Model:
     """The fitted judges and the gathered items."""
 
     def __init__(self, votes: DataFrame, rounds: int = ROUNDS):
-        votes = table(votes, "consensus-votes")
+        self.votes = votes = table(votes, "consensus-votes")
         names = votes.select("judge").distinct()
-        many = names.count()
-        if many > MOST_JUDGES:
-            raise ValueError(f"{many} judges; matrices are estimated for {MOST_JUDGES} at most")
-        self.judges = sorted(r.judge for r in names.collect())
-        number = votes.sparkSession.createDataFrame([(j, n) for n, j in enumerate(self.judges)], "judge string, number int")
-        coded = votes.join(F.broadcast(number), "judge").withColumn("vote", F.col("number") * TOP + F.col("score") - 1)
-        items = coded.groupBy("index", "modality", "category").agg(F.sort_array(F.collect_list("vote")).alias("votes"))
-        self.votes, self.items = votes, table(items, "consensus-items")
-        if self.judges:
-            self.prior, self.conf = fit(self.items, len(self.judges), rounds)
+        self.many = names.count()
+        self.sent = self.many <= SENT_JUDGES
+        if self.sent:
+            self.number = votes.sparkSession.createDataFrame([(j, n) for n, j in enumerate(sorted(r.judge for r in names.collect()))], "judge string, number bigint")
+        else:
+            self.number = table(ordinals(names, ["judge"], "number"), "consensus-judges")
+        coded = lookup_join(votes, self.number, "judge", F.col("index"), rows=self.many).withColumn("vote", F.col("number") * TOP + F.col("score") - 1)
+        items = coded.groupBy("index", "modality", "category").agg(F.sort_array(F.collect_list("vote")).alias("votes")).withColumn("item", F.monotonically_increasing_id())
+        self.items = table(items, "consensus-items")
+        if self.many and self.sent:
+            self.prior, self.conf = fit(self.items, self.many, rounds)
+        elif self.many:
+            self.matrices, self.log_prior = fit_table(self.items, rounds)
 
     def consensus(self) -> DataFrame:
         """(index, modality, category, score, confidence, n_scores, n_different) per item."""
         schema = "index bigint, modality string, category string, score int, confidence double, n_scores int, n_different int"
-        if not self.judges:
+        if not self.many:
             return self.items.sparkSession.createDataFrame([], schema)
+        if not self.sent:
+            votes = self.items.select("item", F.explode("votes").alias("v")).select("item", F.expr(f"v div {TOP}").alias("number"), F.expr(f"int(v % {TOP})").alias("score"))
+            p = F.array(*[f"p{k}" for k in SCORES])
+            best = posterior(votes, self.matrices, self.log_prior).select("item", F.array_max(p).alias("confidence"), F.array_position(p, F.array_max(p)).cast("int").alias("score"))
+            different = F.size(F.array_distinct(F.transform("votes", lambda v: v % TOP)))
+            return self.items.join(best, "item").select("index", "modality", "category", "score", "confidence", F.size("votes").alias("n_scores"), different.alias("n_different"))
         params = self.items.sparkSession.sparkContext.broadcast((self.prior, self.conf))
 
         def run(batches):
@@ -141,7 +199,7 @@ class Model:
                     names=["index", "modality", "category", "score", "confidence", "n_scores", "n_different"],
                 )
 
-        return self.items.mapInArrow(run, schema)
+        return self.items.drop("item").mapInArrow(run, schema)
 
     def reliability(self) -> DataFrame:
         """(judge, n_scores, exact, near, bias): how a judge's scores follow the consensus, by the fitted matrices.
@@ -149,16 +207,23 @@ class Model:
         exact and near are the chances to give the true score, and one at most one off; bias is the mean difference.
         """
         spark = self.items.sparkSession
-        schema = "judge string, exact double, near double, bias double"
-        rows = []
-        if self.judges:
-            conf = np.exp(self.conf)
+        counts = self.votes.groupBy("judge").agg(F.count("*").alias("n_scores")).join(self.number, "judge")
+        if not self.many:
+            return counts.select("judge", "n_scores", *[F.lit(0.0).alias(c) for c in ("exact", "near", "bias")])
+        if self.sent:
+            w = self.prior[None, :, None] * np.exp(self.conf)
             off = np.arange(TOP)[None, :] - np.arange(TOP)[:, None]
-            for n, name in enumerate(self.judges):
-                w = self.prior[:, None] * conf[n]
-                rows.append((name, float(w[off == 0].sum()), float(w[np.abs(off) <= 1].sum()), float((w * off).sum())))
-        counts = self.votes.groupBy("judge").agg(F.count("*").alias("n_scores"))
-        return spark.createDataFrame(rows, schema).join(counts, "judge").select("judge", "n_scores", "exact", "near", "bias")
+            rows = [(n, float(x[off == 0].sum()), float(x[np.abs(off) <= 1].sum()), float((x * off).sum())) for n, x in enumerate(w)]
+            told = spark.createDataFrame(rows, "number bigint, exact double, near double, bias double")
+        else:
+            true = np.exp(self.log_prior).tolist()
+            w = [F.exp(f"c{k}") * true[k] for k in SCORES]
+            zero = F.lit(0.0)
+            exact = sum((F.when(F.col("score") == k, w[k]).otherwise(zero) for k in SCORES), zero)
+            near = sum((F.when(F.abs(F.col("score") - k) <= 1, w[k]).otherwise(zero) for k in SCORES), zero)
+            bias = sum((w[k] * (F.col("score") - k) for k in SCORES), zero)
+            told = self.matrices.groupBy("number").agg(F.sum(exact).alias("exact"), F.sum(near).alias("near"), F.sum(bias).alias("bias"))
+        return counts.join(told, "number").select("judge", "n_scores", "exact", "near", "bias")
 
 
 def agreement(votes: DataFrame) -> DataFrame:
