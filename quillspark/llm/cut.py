@@ -2,13 +2,16 @@
 
 Evidence is learned from all values and then combined for each:
 
-* the vocabulary of a field, as a trie: a table of every word's prefixes; a value whose last word
-  is no known word but a proper prefix of known ones was cut inside it, and likewise a last line
-  that is a proper prefix of a line that values usually end with;
+* the vocabulary of a field, as a trie: a table of nodes, each a hash of a known word's beginning;
+  a value whose last word is no known word but such a node was cut inside it, and likewise a last
+  line that is a proper prefix of a line that values usually end with;
 * how often a pair of words, or a word, stands before a full stop, a semicolon or the end;
 * how often a field's values end with a sentence at all;
 * brackets, fences, quotes and parentheses that stay open, and marks put in place of an end;
 * lengths, in characters or bytes, at which a source's values pile up: its limit.
+
+Every value is asked for every kind of evidence.  Texts are read and word pairs counted batch by batch
+in Python: the same in Spark expressions takes twice the time (explode, trims and wide keys per word).
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from quillspark.session import read, table
 
 #: Marks that stand in place of a lost end. Fixed values.
 MARK = re.compile(r"(?:\[\s*(?:\.\.\.|…)\s*\]|…|\.\.\.|<\s*(?:cut|truncated|snip)[^<>]*>|[(\[][^()\[\]]{0,30}\b(?:truncated|cut off|omitted)\b[^()\[\]]{0,30}[)\]]|�+)\s*$", re.I)
+#: The kinds of evidence.
+KINDS = ("mark", "open", "line", "trie", "sentence", "ending", "length")
 #: A last line this short may be a line that values usually end with.
 FOOTER = 40
 #: A word or line is known from this many places on.
@@ -71,9 +76,9 @@ def look(value: str) -> dict:
 def _tail(text: str) -> tuple[bool, str, str]:
     """Whether a text ends with a sentence, and its last two words."""
     inner = text.rstrip(_CLOSERS) if "{" in text else text.rstrip()
-    words = mask(inner[-200:]).split()
-    last = strip(words[-1]) if words else ""
-    before = strip(words[-2]) if len(words) > 1 else ""
+    words = inner.rsplit(None, 2)
+    last = strip(mask(words[-1])) if words else ""
+    before = strip(mask(words[-2])) if len(words) > 1 else ""
     ended = inner[-1:] in ".!?…”" if "{" in text else bool(re.search(r"[.!?…”]['\")\]]*$", inner))
     return ended, before, last
 
@@ -122,8 +127,18 @@ def _ends(batches):
 ENDS = "row bigint, source string, field_name string, marked boolean, opened boolean, line string, space boolean, chars int, bytes int, ended boolean, before string, word string, body_ended boolean"
 
 
+def nodes(words: DataFrame, lengths: list[int]) -> DataFrame:
+    """(node): the inner nodes, at the given depths, of the trie over ``words`` (field_name, word).
+
+    A node is a 64-bit hash of the beginning it stands for; a word has as many as there are depths
+    that the last words reach, however long it is itself.
+    """
+    inner = F.filter(F.lit(lengths) if lengths else F.array().cast("array<int>"), lambda k: k < F.length("word"))
+    return words.select(F.explode(F.transform(inner, lambda k: F.xxhash64("field_name", F.substring(F.col("word"), F.lit(1), k)))).alias("node")).distinct()
+
+
 def prefixes(words: DataFrame) -> DataFrame:
-    """(field_name, prefix): the inner nodes of the trie over ``words`` (field_name, word)."""
+    """(field_name, prefix): the proper prefixes of ``words`` (field_name, word), which are short lines."""
     long = words.select("field_name", "word").where(F.length("word") > 1)
     return long.select("field_name", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("prefix")).distinct()
 
@@ -137,11 +152,13 @@ def limits(ends: DataFrame, size: str) -> DataFrame:
 
 
 def cut_values(values: DataFrame) -> DataFrame:
-    """(row, source, field_name, cut, why): each value with whether it lost its end.
+    """(row, source, field_name, cut, why, evidence): each value with whether it lost its end.
 
     ``values`` has row (key), source, field_name and value.  Null and blank values are left out; a
     row and field that come twice count once.  A field without a value that ends like another
-    (an empty or tiny table) is judged by its own structure and marks alone.
+    (an empty or tiny table) is judged by its own structure and marks alone.  evidence has every kind
+    that speaks for a cut; why is the first that decides, and null where none does: a last word
+    inside the trie and a length at a limit may be there without a cut.
     """
     values = values.where(r"row is not null and value is not null and trim(regexp_replace(value, '[\\s\\p{Z}]+', ' ')) <> ''").select(F.col("row").cast("bigint").alias("row"), F.coalesce("source", F.lit("")).alias("source"), "field_name", "value")
     ends = table(values.mapInArrow(_ends, ENDS).dropDuplicates(["row", "field_name"]), "cut-ends")
@@ -150,19 +167,20 @@ def cut_values(values: DataFrame) -> DataFrame:
 
     words = table(pairs.groupBy("field_name", "word").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed"), F.sum("last").alias("last")), "cut-words")
     known = words.where(F.col("n") - F.col("last") + F.col("closed") >= KNOWN)
-    trie = prefixes(known)
-    fields = ends.groupBy("field_name").agg(F.count("*").alias("values"), F.avg(F.col("body_ended").cast("double")).alias("ended_share"))
-    lines = ends.where("line <> ''").groupBy("field_name", F.col("line").alias("word")).agg(F.count("*").alias("n")).join(F.broadcast(fields), "field_name")
+    fields = table(ends.groupBy("field_name").agg(F.count("*").alias("values"), F.avg(F.col("body_ended").cast("double")).alias("ended_share")), "cut-fields")
+    lines = lookup_join(ends.where("line <> ''").groupBy("field_name", F.col("line").alias("word")).agg(F.count("*").alias("n")), fields, "field_name", F.col("word"))
     usual = lines.where((F.col("n") >= KNOWN) & (F.col("n") >= USUAL * F.col("values"))).select("field_name", "word")
     usual = table(usual, "cut-lines")
     part = prefixes(usual)
 
     # what is known of each different ending
     last = table(ends.select("field_name", "before", "word").distinct(), "cut-lasts")
+    lengths = sorted(r.n for r in last.select(F.length("word").alias("n")).where("n > 0").distinct().collect())
     last = (
-        last.join(known.select("field_name", "word", F.lit(True).alias("known")), ["field_name", "word"], "left")
+        last.withColumn("node", F.xxhash64("field_name", "word"))
+        .join(known.select("field_name", "word", F.lit(True).alias("known")), ["field_name", "word"], "left")
         .join(words.select("field_name", "word", F.col("n").alias("wn"), F.col("closed").alias("wc"), F.col("last").alias("wl")), ["field_name", "word"], "left")
-        .join(trie.select("field_name", F.col("prefix").alias("word"), F.lit(True).alias("inside")), ["field_name", "word"], "left")
+        .join(nodes(known, lengths).withColumn("inside", F.lit(True)), "node", "left")
         .join(pairs.select("field_name", "before", "word", F.col("n").alias("pn"), F.col("closed").alias("pc"), F.col("last").alias("pl")), ["field_name", "before", "word"], "left")
     )
     # a word that mostly comes last, again and again, ends there by nature; cuts are spread over words
@@ -177,22 +195,18 @@ def cut_values(values: DataFrame) -> DataFrame:
     got = lookup_join(got, last, "k", F.col("row"))
     got = lookup_join(got, line, "lk", F.col("row"), how="left")
     for size in ("chars", "bytes"):
-        got = got.join(F.broadcast(limits(ends, size)), ["source", "field_name", size], "left")
-    got = got.join(F.broadcast(fields), "field_name")
-    at_limit = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
+        got = lookup_join(got, table(limits(ends, size), "cut-limits"), ["source", "field_name", size], F.col("row"), how="left")
+    got = lookup_join(got, fields, "field_name", F.col("row"))
     usual_, part_ = F.coalesce("usual", F.lit(False)), F.coalesce("part", F.lit(False))
-    open_end = ~usual_ & ~F.col("ended")
-    why = (
-        F.when(F.col("marked"), "mark")
-        .when(F.col("opened"), "open")
-        .when(part_ & ~usual_ & F.col("body_ended"), "line")
-        .when(open_end & F.col("inside") & ~F.col("known"), "word")
-        .when(open_end & (F.col("ended_share") >= MOSTLY), "sentence")
-        .when(open_end & (F.col("rate") < SELDOM), "ending")
-        .when(F.col("space") & at_limit, "length")
-        .when(open_end & at_limit & (F.col("rate") < 0.2), "length")
-    )
-    return got.select("row", "source", "field_name", why.isNotNull().alias("cut"), why.alias("why"))
+    got = got.withColumn("open_end", ~usual_ & ~F.col("ended")).withColumn("trie", F.col("inside") & ~F.col("known")).withColumn("length", F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False)))
+    open_end, trie, length = F.col("open_end"), F.col("trie"), F.col("length")
+    line_, sentence, ending = part_ & ~usual_ & F.col("body_ended"), open_end & (F.col("ended_share") >= MOSTLY), open_end & (F.col("rate") < SELDOM)
+    # a length at a limit decides together with anything that a complete value hardly has
+    limit = length & (F.col("space") | (open_end & ((F.col("rate") < 0.2) | trie)))
+    why = F.when(F.col("marked"), "mark").when(F.col("opened"), "open").when(line_, "line").when(open_end & trie, "word").when(sentence, "sentence").when(ending, "ending").when(limit, "length")
+    kinds = (("mark", F.col("marked")), ("open", F.col("opened")), ("line", line_), ("trie", trie), ("sentence", sentence), ("ending", ending), ("length", length))
+    evidence = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds]))
+    return got.select("row", "source", "field_name", why.isNotNull().alias("cut"), why.alias("why"), evidence.alias("evidence"))
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +222,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each judge's values are cut, and by what it was told."""
     got = cut_values(_values(spark, sf_dir))
-    return got.groupBy(F.col("source").alias("judge"), "field_name").agg(F.count("*").alias("n_values"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("cut_share"), F.count_if(F.col("why") == "word").alias("n_inside_a_word"))
+    return got.groupBy(F.col("source").alias("judge"), "field_name").agg(F.count("*").alias("n_values"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("cut_share"), *[F.count_if(F.col("cut") & F.array_contains("evidence", k)).alias(f"n_{k}") for k in KINDS])
 
 
 QUERIES = {"p4_found": p4_found, "p4_judges": p4_judges}
