@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -14,6 +15,9 @@ from quillspark.functions.judgejson import readings
 #: What a speaker is unless an answer says otherwise. Fixed values.
 SPEAKER = {"name": "Narrator", "emotion": "neutral", "speed": "normal", "pitch": "normal", "gender": "female"}
 
+#: What a plan without speech says. Fixed value.
+STOCK_SPEECH = "Let's keep going."
+
 _QUOTED = re.compile(r'"([^"]+)"|“([^”]+)”|\'([^\']+)\'')
 _LABELLED = {"narration": re.compile(r"(?is)(?:^|\n)\s*narration\s*:\s*(.+?)(?=(?:\n\s*speech\s*:)|\Z)"), "speech": re.compile(r"(?is)(?:^|\n)\s*speech\s*:\s*(.+?)\s*$")}
 _LEAD = re.compile(r"^\s*(?:narration|speech)\s*:\s*", re.I)
@@ -117,6 +121,8 @@ def page(answer: str | None) -> dict:
             last = "no text"
             continue
         meta = value.get("speech_metadata")
+        if isinstance(meta, str):
+            meta = next((v for v in readings(meta) if isinstance(v, dict)), None)
         speaker = meta.get("speaker") if isinstance(meta, dict) and isinstance(meta.get("speaker"), dict) else {}
         line = next((x for x in (speaker.get("line"), value.get("quote")) if isinstance(x, str) and x.strip()), None)
         out.update({k: speaker[k].strip() if isinstance(speaker.get(k), str) and speaker[k].strip() else d for k, d in SPEAKER.items()})
@@ -143,6 +149,33 @@ def flat_prompt(value) -> str:
     return str(value).strip()
 
 
+def best_effort(answer: str | None) -> tuple[str | None, str]:
+    """(JSON object, how): the first object that reads, the strictest way first: whole, fenced, outer, tolerant; (None, 'none') if none does.
+
+    outer is from the first opening to the last closing brace; tolerant bends JSON's rules as judgejson.Reader does.
+    """
+    text = (answer or "").strip()
+    fence = re.search(r"(?is)```(?:json)?\s*(.*?)\s*```", text)
+    at, end = text.find("{"), text.rfind("}")
+    for how, part in (("whole", text), ("fenced", fence.group(1) if fence else ""), ("outer", text[at : end + 1] if 0 <= at < end else "")):
+        try:
+            got = json.loads(part)
+        except ValueError:
+            continue
+        if isinstance(got, dict):
+            return json.dumps(got, ensure_ascii=False), how
+    got = next((v for v in readings(text) if isinstance(v, dict)), None)
+    return (None, "none") if got is None else (json.dumps(got, ensure_ascii=False), "tolerant")
+
+
+def best_effort_column(answer: Column | str) -> Column:
+    @F.pandas_udf("struct<json:string,how:string>")
+    def run(answers: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best_effort(a) for a in answers], columns=["json", "how"])
+
+    return run(answer)
+
+
 PAGE = "struct<text:string,image_prompt:string,quote:string,name:string,emotion:string,speed:string,pitch:string,gender:string,error:string>"
 
 
@@ -158,7 +191,7 @@ def plan_with_defaults(answer: Column, instruction: Column) -> Column:
     """The labelled plan, with the instruction or the raw answer as narration and stock words where speech is missing."""
     p = T.plan_fields(answer)
     some = lambda *c: F.coalesce(*[F.nullif(x, F.lit("")) for x in c])
-    return F.struct(some(p["narration"], T.clean_value(instruction), T.clean_value(answer)).alias("narration"), some(p["speaker"], F.lit("character")).alias("speaker"), some(p["speech"], F.lit("Let's keep going.")).alias("speech"), p["image_prompt"].alias("image_prompt"))
+    return F.struct(some(p["narration"], T.clean_value(instruction), T.clean_value(answer)).alias("narration"), some(p["speaker"], F.lit("character")).alias("speaker"), some(p["speech"], F.lit(STOCK_SPEECH)).alias("speech"), p["image_prompt"].alias("image_prompt"))
 
 
 def unit_text(units: Column, prefix: str, start: str, end: str) -> Column:

@@ -9,10 +9,10 @@ JSON.  No text is parsed value by value.
 from __future__ import annotations
 
 import json
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from quillspark.functions.arrowtext import buffers, span_hashes
 
@@ -31,7 +31,8 @@ _HEX[list(b"0123456789abcdefABCDEF")] = True
 _KIND = np.full(9, -1, np.int8)
 _KIND[[_OPEN_O, _OPEN_A, _STR, _SCA]] = [OBJECT, ARRAY, STRING, SCALAR]
 _VALUE = _KIND >= 0
-_WORDS = re.compile(rb"true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+#: A number or literal of JSON, from its first to its last byte (RE2 syntax).
+PLAIN = r"\A(?:true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)\z"
 
 
 def key_hash(name: str) -> np.uint64:
@@ -48,6 +49,15 @@ class Index:
     root value, or -1 if the text is not one well-formed JSON value.
     """
 
+    @staticmethod
+    def _plain(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which spans are numbers or literals of JSON."""
+        sizes = ends - starts
+        offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        raw = data[np.arange(offs[-1]) + np.repeat(starts - offs[:-1], sizes)]
+        spans = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offs), pa.py_buffer(raw.tobytes())])
+        return pc.match_substring_regex(spans, pattern=PLAIN).to_numpy(zero_copy_only=False).astype(bool)
+
     def __init__(self, texts: pa.Array):
         data, offs = buffers(texts)
         self.data, self.raw = data, data.tobytes()
@@ -115,9 +125,8 @@ class Index:
         at, kind, ends = at[order], kind[order], ends[order]
         row = row_of(at)
         n = len(at)
-        for a, b, r in zip(*(x[kind == _SCA] for x in (at, ends, row))):
-            if not bad[r] and not _WORDS.fullmatch(self.raw[a:b]):
-                bad[r] = True
+        scalar = kind == _SCA
+        bad[row[scalar][~self._plain(data, at[scalar], ends[scalar])]] = True
 
         step = np.zeros(n, np.int64)
         opens = (kind == _OPEN_O) | (kind == _OPEN_A)

@@ -20,3 +20,15 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str | list[str], spread:
     left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")
+
+
+def counted_join(left: DataFrame, right: DataFrame, key: str, count: str, spread: Column, most: int = 20_000) -> DataFrame:
+    """Inner join of ``left`` to ``right`` (few rows per key), whose column ``count`` says how many rows of ``left`` have the key.
+
+    Keys of more than ``most`` rows are few and are sent to them; the rows of all others go to their key,
+    which no task then has more than ``most`` of.  A ``right`` of up to BROADCAST_ROWS rows is broadcast whole.
+    """
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right.drop(count)), key)
+    hot, cold = right.where(F.col(count) > most).drop(count), right.where(F.col(count) <= most).drop(count)
+    return lookup_join(left, hot, key, spread).unionByName(left.join(cold, key))

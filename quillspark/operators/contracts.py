@@ -63,7 +63,7 @@ def histogram_gap(df: DataFrame, column: str, expected: dict[str, int]) -> DataF
 
 
 def sentinels(df: DataFrame, ordinal: str, key: str, expected: dict[int, str]) -> DataFrame:
-    """(ordinal, expected, key): stated places that do not hold the stated key."""
+    """(ordinal, expected, key): stated places that do not hold the stated key; the statement is the caller's dictionary, so it is small."""
     want = df.sparkSession.createDataFrame(list(expected.items()), f"{ordinal} bigint, expected string")
     return F.broadcast(want).join(df.select(ordinal, key), ordinal, "left").where(~F.col("expected").eqNullSafe(F.col(key)))
 
@@ -105,6 +105,59 @@ def dropped_empty(lists: Column, field: str) -> Column:
     return F.transform(lists, lambda m: F.map_filter(m, lambda k, v: ~((k == field) & (v == ""))))
 
 
+def repair_problems(df: DataFrame, key: str, lists: str, field: str) -> DataFrame:
+    """(key, repaired, empty): ``lists`` (array of maps) without ``field`` where it is empty, and how many objects that were.
+
+    Null lists have null and 0.
+    """
+    empty = F.size(F.filter(F.coalesce(lists, F.array().cast("array<map<string,string>>")), lambda m: F.coalesce(F.try_element_at(m, F.lit(field)) == "", F.lit(False))))
+    return df.select(key, dropped_empty(F.col(lists), field).alias("repaired"), empty.alias("empty"))
+
+
+def targeted_repair(df: DataFrame, key: str, lists: str, field: str, ids: list[str]) -> DataFrame:
+    """``df`` with ``lists`` repaired in the stated rows, in each of which exactly one object has ``field`` empty.
+
+    Other rows stay as they are.  A stated row that is missing, comes twice or has another number of
+    such objects is an error, so that a source that was mended or changed isn't repaired blindly.
+    """
+    got = repair_problems(df.where(F.col(key).isin(ids)), key, lists, field).select(key, "empty").collect()  # the stated rows only
+    found = {i: [r.empty for r in got if r[0] == i] for i in ids}
+    bad = {i: n for i, n in found.items() if n != [1]}
+    if bad:
+        raise ContractError("; ".join(f"{i}: {'no row' if not n else f'{len(n)} rows' if len(n) > 1 else f'{n[0]} objects with empty {field}'}" for i, n in sorted(bad.items())))
+    return df.withColumn(lists, F.when(F.col(key).isin(ids), dropped_empty(F.col(lists), field)).otherwise(F.col(lists)))
+
+
+def file_problems(df: DataFrame, key: str, columns: list[str], listing: DataFrame, root: str = "") -> DataFrame:
+    """(key, column, problem): paths that are blank, absolute, leave the root, name no file of ``listing`` ('missing') or an empty one ('empty').
+
+    ``listing`` has path (below ``root``) and length, as readers.files() gives it; it is joined once,
+    salted, for all columns.  Separators and doubled ones count alike.
+    """
+    from quillspark.functions.skew import lookup_join
+
+    clean = lambda c: F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), r"/{2,}", "/"), r"^\./", "")
+    have = listing.select(clean(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1) if root else F.col("path")).alias("_path"), "length").groupBy("_path").agg(F.max("length").alias("_length"))
+    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("path")) for c in columns])).alias("_c")).select(key, "_c.column", "_c.path")
+    long = long.withColumn("_why", path_problem("path")).withColumn("_path", clean(F.col("path")))
+    met = lookup_join(long, have, "_path", F.col(key), how="left")
+    why = F.coalesce("_why", F.when(F.col("_length").isNull(), "missing").when(F.col("_length") == 0, "empty"))
+    return met.select(key, "column", why.alias("problem")).where("problem is not null")
+
+
+def tree_problems(listing: DataFrame, expected: list[str], links: list[str] = ()) -> DataFrame:
+    """(path, problem): files of an output tree whose name no expected pattern allows ('unexpected'), and links ('link').
+
+    Patterns are file globs over the path below the root; a link may lead out of the root and is none of
+    a result's files, so it is told apart by the caller's list of them.
+    """
+    from quillspark.operators.candidates import like
+
+    ok = reduce(lambda a, b: a | b, [F.col("path").rlike(like(p)) for p in expected], F.lit(False))
+    link = F.col("path").isin(list(links)) if links else F.lit(False)
+    return listing.select("path", F.when(link, "link").when(~ok, "unexpected").alias("problem")).where("problem is not null")
+
+
 def set_difference(have: DataFrame, want: DataFrame, key: str) -> DataFrame:
     """(key, side): keys that are wanted and missing, or there and unexpected."""
     h, w = have.select(key).distinct().withColumn("_h", F.lit(True)), want.select(key).distinct().withColumn("_w", F.lit(True))

@@ -120,6 +120,36 @@ def pipeline(samples: DataFrame, key: str, prompt: str, plan: Adapter, image: Ad
     return out.withColumn("failed", F.array_compact(F.array(*lacks)))
 
 
+#: Families of models and what each takes beside a request's text. Fixed values.
+FAMILIES = {"text": (), "vision": ("image",), "audio": ("audio",), "omni": ("image", "audio"), "speech": ("voice",), "echo": ()}
+
+
+def dispatch(requests: DataFrame, adapters: dict[str, Adapter], key: str, request: str, family: str, batch: int = 16) -> DataFrame:
+    """(key, raw_response, inference_status, error): each request by the adapter of its family; unknown families are error rows."""
+    for name, a in adapters.items():
+        if name not in FAMILIES or a.family != name:
+            raise ValueError(f"{a.key!r} is no adapter of family {name!r}")
+    out = requests.where(~F.coalesce(F.col(family).isin(list(adapters)), F.lit(False))).select(F.col(key).cast("bigint").alias("key"), F.lit(None).cast("string").alias("raw_response"), F.lit("error").alias("inference_status"), F.concat(F.lit("no model of family "), F.coalesce(F.col(family), F.lit("null"))).alias("error"))
+    for name, a in adapters.items():
+        out = out.unionByName(run(requests.where(F.col(family) == name), a, key, request, batch))
+    return out
+
+
+def repair_pass(results: DataFrame, adapter: Adapter, key: str, raw: str, modality: str, record: str = "record", batch: int = 16) -> DataFrame:
+    """``results`` with ``record`` after one pass of a repair model over the records that did not parse.
+
+    ``record`` is what judgejson.parse_column gives.  Only open records with a response become requests;
+    an answer that fails or is missing leaves its record as it is.  ``key`` is unique.
+    """
+    from quillspark.functions import judgejson as J
+
+    open_ = results.where((F.col(f"{record}.status") == "parse_error") & (F.trim(F.coalesce(raw, F.lit(""))) != ""))
+    ask = open_.select(F.col(key).cast("bigint").alias(key), F.to_json(J.repair_request(raw, F.col(f"{record}.final_parse_error"), modality)).alias("_request"))
+    answers = run(ask, adapter, key, "_request", batch).select(F.col("key").alias(key), F.when(F.col("inference_status") == "ok", F.col("raw_response")).alias("_answer"))
+    joined = results.join(answers, key, "left")
+    return joined.withColumn(record, J.repair_column(F.col(record), F.col("_answer"), modality)).drop("_answer")
+
+
 def attach(records: DataFrame, results: DataFrame, key: str, reason: str = "Candidate artifact is unavailable.") -> DataFrame:
     """Every record with its result; records without one are skipped, for the reason given."""
     r = results.select(F.col("key").alias(key), "raw_response", "inference_status", "error")

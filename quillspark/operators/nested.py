@@ -231,10 +231,13 @@ def character_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return picked.mapInArrow(_worker(lambda rows, part, at, name: _characters(rows, part, at, name)), f"key string, rows {ROW}")
 
 
-def sample_rows(df: DataFrame, path: str, body: str) -> DataFrame:
-    """(key, rows): the speakers and characters of each sample file, by its canonical path."""
-    picked = df.where(F.col(path).isNotNull()).select(canonical_path(F.col(path)).alias("key"), F.col(body).cast("string").alias("body"))
-    return picked.mapInArrow(_worker(lambda rows, part, at, name: _sample(rows, part, at)), f"key string, rows {ROW}")
+def sample_rows(df: DataFrame, path: str, body: str, at: str) -> DataFrame:
+    """(key, at, rows): the speakers and characters of each version of a sample file, by its canonical path and time (null without a column ``at``)."""
+    time = F.col(at).cast("timestamp_ntz") if at in df.columns else F.lit(None).cast("timestamp_ntz")
+    picked = df.where(F.col(path).isNotNull()).select(canonical_path(F.col(path)).alias("key"), time.cast("string").alias("at"), F.col(body).cast("string").alias("body"))
+    # key and time go through the index as one text
+    one = picked.select(F.to_json(F.struct("key", "at")).alias("key"), "body").mapInArrow(_worker(lambda rows, part, at, name: _sample(rows, part, at)), f"key string, rows {ROW}")
+    return one.select(F.from_json("key", "key string, at string").alias("k"), "rows").select("k.key", "k.at", "rows")
 
 
 def canonical_path(path: Column) -> Column:
@@ -257,7 +260,7 @@ def linked(dataset: DataFrame, samples: DataFrame) -> DataFrame:
     """
     ids = dataset.where("id is not null")
     own = flat_members(character_rows(ids, "id", ["condition_characters", "book_characters"]))
-    files = sample_rows(samples, "sample_path", "body").groupBy("key").agg(F.max_by("rows", F.size("rows")).alias("rows"))
+    files = sample_rows(samples, "sample_path", "body", "written_at").groupBy("key").agg(F.max_by("rows", F.struct("at", F.size("rows"))).alias("rows"))
     paths = ids.where("sample_path is not null").select(F.col("id").cast("string").alias("id"), canonical_path(F.col("sample_path")).alias("key")).distinct()
     return own.unionByName(paths.join(files, "key").select("id", F.inline("rows")))
 
@@ -303,10 +306,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(read(spark, sf_dir, "dataset"), read(spark, sf_dir, "sample_files"))
 
 
+def all_nodes(dataset: DataFrame, samples: DataFrame) -> DataFrame:
+    """(id, document, node, parent, ...): nodes() of each row's two character lists and of its sample file, the version written last.
+
+    document is the column or ``sample``; (id, document) names a text, whose values its parents link.
+    """
+    rows = dataset.where("id is not null")
+    lists = ["condition_characters", "book_characters"]
+    one = rows.groupBy("id").agg(*[F.min(c).alias(c) for c in lists])
+    time = F.col("written_at").cast("timestamp_ntz") if "written_at" in samples.columns else F.lit(None).cast("timestamp_ntz")
+    files = samples.where("sample_path is not null").groupBy(canonical_path(F.col("sample_path")).alias("key")).agg(F.max_by("body", F.struct(time.alias("at"), F.length("body").alias("n"))).alias("body"))
+    paths = rows.where("sample_path is not null").select("id", canonical_path(F.col("sample_path")).alias("key")).distinct()
+    out = nodes(paths.join(files, "key"), "id", "body").withColumn("document", F.lit("sample"))
+    for c in lists:
+        out = out.unionByName(nodes(one, "id", c).withColumn("document", F.lit(c)))
+    return out.withColumnRenamed("key", "id")
+
+
 def p2_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All values of book_characters as one linked table."""
-    data = read(spark, sf_dir, "dataset").where("id is not null").groupBy("id").agg(F.min("book_characters").alias("book_characters"))
-    return nodes(data, "id", "book_characters").withColumnRenamed("key", "id")
+    """All values of the two columns and of the sample files as one linked table."""
+    return all_nodes(read(spark, sf_dir, "dataset"), read(spark, sf_dir, "sample_files"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_nodes": p2_nodes}

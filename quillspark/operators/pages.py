@@ -70,7 +70,9 @@ def present(media: Column | str) -> Column:
 
 def prefixed(df: DataFrame, media: list[str], prefixes: DataFrame) -> DataFrame:
     """Media paths with the prefix of their source; ``prefixes`` has source and prefix, one row per source."""
-    d = df.join(F.broadcast(prefixes), "source", "left")
+    from quillspark.functions.skew import lookup_join
+
+    d = lookup_join(df, prefixes, "source", F.col(media[0]) if media else F.col("source"), how="left")
     put = lambda c: F.transform(F.col(c), lambda p: F.concat(F.coalesce("prefix", F.lit("")), p))
     return d.withColumns({c: put(c) for c in media}).drop("prefix")
 

@@ -47,6 +47,23 @@ def speech_condition(people: Column, ambient: Column) -> Column:
     return F.concat_ws("\n", F.array_join(F.transform(people, one), "\n"), F.when(F.coalesce(ambient, F.lit("")) != "", F.concat(F.lit("- ambient sound: "), ambient)))
 
 
+def judge_request(modality: Column | str, sections: dict[str, Column | str]) -> Column:
+    """The messages that ask a judge for the scores of a modality's four categories: the form first, then each section under its name.
+
+    Sections that are null or blank are left out; an unknown modality has null.  The wording is this library's own.
+    """
+    import json
+
+    from quillspark.functions.judgejson import CATEGORIES
+
+    form = {m: json.dumps({c: {"score": "<integer 1-10>", "rationale": "<one or two sentences>"} for c in cs}) for m, cs in CATEGORIES.items()}
+    forms = F.create_map(*[F.lit(x) for kv in form.items() for x in kv])
+    form_ = F.try_element_at(forms, T.col(modality))
+    system = F.concat(F.lit("You judge one generated story page. Score each category from 1 (poor) to 10 (excellent) and say why.\nAnswer with this JSON object and nothing else:\n"), form_)
+    body = F.concat_ws("\n\n", *[F.when(~T.blank(c), F.concat(F.lit(f"## {name}\n"), T.strip(c))) for name, c in sections.items()])
+    return F.when(form_.isNotNull(), F.array(message("system", system), message("user", body)))
+
+
 #: How a label sounds when it is described. Fixed values.
 VOICE = {
     "emotion": {"angry": "angry and tense", "happy": "cheerful and upbeat", "neutral": "calm and neutral", "sad": "sad and soft"},
@@ -127,3 +144,15 @@ def indented(c: Column) -> Column:
 def pick(options: list[str], *keys: Column | str, seed: int = 0) -> Column:
     """One of the options by a hash of the keys: the same in every run."""
     return F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(len(options))) + 1).cast("int"))
+
+
+def flattened(content: Column, reasoning: Column, refusal: Column, calls: Column) -> Column:
+    """The parts of an answer's message that say anything, joined by lines: content, reasoning, refusal, tool calls (JSON); '' if none does."""
+    return F.concat_ws("\n", *[F.when(~T.blank(c), T.strip(c)) for c in (content, reasoning, refusal, calls)])
+
+
+def answer_or_error(text: Column, finish_reason: Column, most: Column) -> Column:
+    """text and error of an answer: one that stopped for its length is an error that says at how many tokens, as is a blank one."""
+    cut = F.coalesce(F.lower(finish_reason) == "length", F.lit(False))
+    error = F.when(cut, F.concat(F.lit("stopped at the limit of "), F.coalesce(most.cast("string"), F.lit("unknown")), F.lit(" tokens"))).when(T.blank(text), "empty answer")
+    return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _changes(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """For each row whether it differs from the one before in any column; null equals null; the first does."""
+    out = np.zeros(len(pdf), bool)
+    for c in columns:
+        v = pdf[c]
+        null = v.isna().to_numpy()
+        out[1:] |= (v.to_numpy()[1:] != v.to_numpy()[:-1]) & ~(null[1:] & null[:-1])
+    out[0] = True
+    return out
+
+
 def runs(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """(by..., run, value, start, end, n): maximal runs of equal values, 1-based places; null equals null.
 
@@ -24,22 +37,31 @@ def runs(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFram
     schema = "_part int, " + ", ".join(f"{c} {types[c]}" for c in by) + f", _k bigint, _v {types[value]}, _n bigint"
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, k, last, n, part = None, 0, None, 0, 0
+        held = None  # the open run, as one row
         for pdf in batches:
-            done = []
-            values = pdf[value].astype(object).where(pdf[value].notna(), None)
-            for row, v in zip(pdf[["_part", *by]].itertuples(index=False, name=None), values):
-                g = tuple(None if x != x else x for x in row[1:])
-                if g != group or v != last:
-                    if n:
-                        done.append((part, *group, k, last, n))
-                    k = k + 1 if g == group else 0
-                    group, last, n, part = g, v, 0, row[0]
-                n += 1
-            if done:
-                yield pd.DataFrame(done, columns=["_part", *by, "_k", "_v", "_n"])
-        if n:
-            yield pd.DataFrame([(part, *group, k, last, n)], columns=["_part", *by, "_k", "_v", "_n"])
+            if pdf.empty:
+                continue
+            fresh_group, fresh_run = _changes(pdf, ["_part", *by]), _changes(pdf, ["_part", *by, value])
+            at = np.flatnonzero(fresh_run)
+            got = pdf.iloc[at].rename(columns={value: "_v"})
+            got = got.assign(_n=np.diff(np.append(at, len(pdf))), _g=np.cumsum(fresh_group)[at]).reset_index(drop=True)
+            got["_k"] = got.groupby("_g").cumcount()
+            for c in (*by, "_v"):
+                got[c] = got[c].astype(object).where(got[c].notna(), None)
+            if held is not None:
+                both = pd.concat([held, got.iloc[:1]], ignore_index=True)
+                if not _changes(both, ["_part", *by])[1]:  # the group goes on
+                    on = not _changes(both, ["_v"])[1]
+                    got.loc[got["_g"] == got["_g"].iloc[0], "_k"] += int(held["_k"].iloc[0]) + (0 if on else 1)
+                    if on:
+                        got.loc[0, "_n"] += int(held["_n"].iloc[0])
+                        held = None
+                if held is not None:
+                    yield held[["_part", *by, "_k", "_v", "_n"]]
+            held = got.iloc[-1:].reset_index(drop=True)
+            yield got.iloc[:-1][["_part", *by, "_k", "_v", "_n"]]
+        if held is not None:
+            yield held[["_part", *by, "_k", "_v", "_n"]]
 
     parts = table(d.mapInPandas(local, schema), "runs")
     edges = parts.groupBy(*by, "_part").agg(F.count("*").alias("_c"), F.sum("_n").alias("_rows"), F.min_by("_v", "_k").alias("_first"), F.max_by("_v", "_k").alias("_last"))
@@ -134,6 +156,58 @@ def pack(df: DataFrame, by: list[str], order: list[str], key: str, length: str,
     return d.mapInPandas(run, schema)
 
 
+def pack_shared(df: DataFrame, by: list[str], order: list[str], key: str, length: str, most: int, buffers: int = 2, source: str | None = None, emit_tail: bool = False) -> DataFrame:
+    """(by..., key, length, pack, at[, source]): rows of all sources packed in order with several open sequences.
+
+    A row goes to the emptiest open sequence; where it doesn't fit, the fullest is closed and the row
+    begins its successor.  Equally full ones are taken by their place.  Rows longer than ``most`` and
+    of null length are dropped.  Sequences are numbered as they open; what is open at the end is left
+    out unless ``emit_tail``.  As with pack() a group is one ordered stream; only the open sequences are held.
+    """
+    if buffers < 1:
+        raise ValueError("at least one sequence is open")
+    keep = [*by, key, length, *([source] if source else [])]
+    d = df.select(*dict.fromkeys([*keep, *order])).where(f"{length} is not null and {length} <= {int(most)}").repartition(*by).sortWithinPartitions(*by, *order)
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep) + ", pack bigint, at bigint"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, open_, number = None, [], 0  # an open sequence: fill, number, rows
+        close = lambda rows: pd.DataFrame(rows, columns=[*keep, "pack", "at"])
+        for pdf in batches:
+            done = []
+            for row, n in zip(pdf[keep].itertuples(index=False, name=None), pdf[length].tolist()):
+                g = row[: len(by)]
+                if g != group:
+                    if emit_tail:
+                        done += [close(o[2]) for o in open_ if o[2]]
+                    group, open_, number = g, [[0, k, []] for k in range(buffers)], buffers
+                least = min(range(buffers), key=lambda k: open_[k][0])
+                if open_[least][0] + n > most:
+                    least = max(range(buffers), key=lambda k: open_[k][0])
+                    done.append(close(open_[least][2]))
+                    open_[least] = [0, number, []]
+                    number += 1
+                fill, at, rows = open_[least]
+                rows.append((*row, at, fill))
+                open_[least][0] = fill + n
+            if done:
+                yield pd.concat(done)
+        if emit_tail and any(o[2] for o in open_):
+            yield pd.concat([close(o[2]) for o in open_ if o[2]])
+
+    return d.mapInPandas(run, schema)
+
+
+def pack_statistics(rows: DataFrame, packed: DataFrame, source: str, length: str, most: int, buffers: int = 2) -> DataFrame:
+    """(source, processed, unjoint, joint): rows that came, those that could be packed, and those that closed a sequence.
+
+    ``packed`` is pack_shared() with its tail: the row that closes a sequence begins the next one.
+    """
+    came = rows.groupBy(source).agg(F.count("*").alias("processed"), F.count_if(F.col(length) <= most).alias("unjoint"))
+    closed = packed.where(f"at = 0 and pack >= {buffers}").groupBy(source).agg(F.count("*").alias("joint"))
+    return came.join(closed, source, "left").fillna({"joint": 0})
+
+
 def finished(tokens: Column, labels: Column, sizes: Column, size: int, pad: int, ignore: int, shift: bool = True, reset: bool = True) -> Column:
     """A packed sequence as a struct: tokens, labels, position_ids, cu_seq_lens, loss_mask, max_seq_len.
 
@@ -194,6 +268,46 @@ def spans(parts: Column) -> Column:
     return F.struct(F.flatten(F.transform(parts, lambda p: p["tokens"])).alias("tokens"), where.alias("spans"))
 
 
+def padded_prompt(prefix: Column, prompt: Column, size: int, pad: int, tail: Column) -> Column:
+    """prefix, the prompt filled to ``size`` in front, and tail as one sequence: tokens, attention, start, end, too_long.
+
+    attention is 0 on the padding and 1 elsewhere; [start, end) is where the prompt stands; a prompt
+    over ``size`` gives null tokens and too_long.
+    """
+    lack = F.greatest(F.lit(size) - F.size(prompt), F.lit(0))
+    ok = F.size(prompt) <= size
+    tokens = F.concat(prefix, F.array_repeat(F.lit(pad).cast("bigint"), lack), prompt, tail)
+    attention = F.concat(F.array_repeat(F.lit(1), F.size(prefix)), F.array_repeat(F.lit(0), lack), F.array_repeat(F.lit(1), F.size(prompt) + F.size(tail)))
+    return F.struct(F.when(ok, tokens).alias("tokens"), F.when(ok, attention).alias("attention"), F.when(ok, F.size(prefix) + lack).alias("start"), F.when(ok, F.size(prefix) + F.lit(size)).alias("end"), (~ok).alias("too_long"))
+
+
+def allowed(vocabulary: DataFrame, name: str, token: str, prefix: str, end: int | None = None) -> DataFrame:
+    """(token, unit): the tokens that a decoder may choose: those named ``prefix`` and a number, and the end mark (unit null).
+
+    ``vocabulary`` has a row per token.  Without any unit token that is an error of the caller's vocabulary.
+    """
+    n = F.regexp_extract(name, rf"^{re.escape(prefix)}(\d+)\D*$", 1).try_cast("bigint")
+    units = vocabulary.select(F.col(token).cast("bigint").alias("token"), n.alias("unit")).where("unit is not null and token is not null").distinct()
+    if units.isEmpty():
+        raise ValueError(f"no token is named {prefix}<number>")
+    if end is None:
+        return units
+    return units.unionByName(units.sparkSession.createDataFrame([(end, None)], "token bigint, unit bigint"))
+
+
+def constrained(scores: DataFrame, by: list[str], token: str, score: str, permitted: DataFrame) -> DataFrame:
+    """(by..., token): of each step's candidates the best permitted one, ties to the smaller token; a step without any has null."""
+    ok = permitted.select(F.col("token").alias(token)).distinct()
+    best = scores.join(F.broadcast(ok) if ok.count() <= 200_000 else ok, token).groupBy(*by).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(token)).alias("t"))).alias("b"))
+    return scores.select(*by).distinct().join(best.select(*by, (-F.col("b.t")).alias(token)), by, "left")
+
+
+def forced(tokens: Column, forced_: Column, pad: int) -> Column:
+    """Tokens with a forced beginning in place of their own: as long as the longer of both, gaps filled with ``pad``."""
+    n = F.greatest(F.size(tokens), F.size(forced_))
+    return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.coalesce(F.get(forced_, i), F.get(tokens, i), F.lit(pad).cast("bigint")))
+
+
 def masked(tokens: Column, seed: Column, mask: int, low: float, high: float) -> Column:
     """Span masking: each place by a hash of seed and place, at a rate that the seed draws between low and high."""
     unit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 30)) / F.lit(float(1 << 30))

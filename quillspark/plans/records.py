@@ -112,6 +112,44 @@ def targeted_repair(spark, sf):
     return d.select("id", K.dropped_empty(F.col("c"), "speech_intent").alias("characters"), F.size(F.filter("c", lambda m: F.try_element_at(m, F.lit("speech_intent")) == "")).alias("repaired"))
 
 
+@query("repair_counts", "SELECT DISTINCT id, CASE WHEN json_valid(condition_characters) AND json_type(condition_characters) = 'ARRAY' THEN len(list_filter(json_extract_string(condition_characters, '$[*].speech_intent'), lambda x: x = '')) ELSE 0 END::INT AS empty FROM dataset WHERE id IS NOT NULL")
+def repair_counts(spark, sf):
+    """Of each row how many characters a repair would change; it takes place where that is one."""
+    d = _index(spark, sf).withColumn("c", F.from_json("condition_characters", "array<map<string,string>>"))
+    return K.repair_problems(d, "id", "c", "speech_intent").select("id", "empty")
+
+
+@query("file_problems", f"""WITH s AS (SELECT {_PATH('sample_path')} AS path, max(octet_length(encode(body))) AS n FROM sample_files WHERE sample_path IS NOT NULL GROUP BY 1)
+SELECT DISTINCT d.id, 'sample_path' AS column, CASE WHEN coalesce(trim(d.sample_path), '') = '' THEN 'blank' WHEN replace(d.sample_path, chr(92), '/') LIKE '/%' THEN 'absolute' WHEN s.path IS NULL THEN 'missing' ELSE 'empty' END AS problem
+FROM dataset d LEFT JOIN s ON s.path = {_PATH('d.sample_path')} WHERE d.id IS NOT NULL AND (coalesce(trim(d.sample_path), '') = '' OR replace(d.sample_path, chr(92), '/') LIKE '/%' OR s.path IS NULL OR coalesce(s.n, 0) = 0)""")
+def file_problems(spark, sf):
+    """Index rows whose sample file is not where the path says, or empty."""
+    files = read(spark, sf, "sample_files").where("sample_path is not null").select(F.col("sample_path").alias("path"), F.octet_length("body").alias("length"))
+    return K.file_problems(_index(spark, sf), "id", ["sample_path"], files)
+
+
+@query("listing_totals", "SELECT count(*)::BIGINT AS files, count(DISTINCT sample_path) AS names, (SELECT sum(n)::BIGINT FROM (SELECT max(octet_length(encode(body))) AS n FROM sample_files WHERE sample_path IS NOT NULL GROUP BY sample_path)) AS bytes FROM sample_files WHERE sample_path IS NOT NULL")
+def listing_totals(spark, sf):
+    d = read(spark, sf, "sample_files").where("sample_path is not null").select(F.col("sample_path").alias("name"), F.octet_length("body").cast("bigint").alias("size"))
+    return readers.totals(d)
+
+
+@query("shard_totals", "SELECT count(*) AS tensors, count(DISTINCT o_custkey) AS shards, (SELECT sum(floor(c_acctbal))::BIGINT FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey % 10 > 0) AS bytes, count(DISTINCT o_custkey) FILTER (o_custkey % 10 = 0) AS missing FROM orders")
+def shard_totals(spark, sf):
+    """Tensors in shards and the files of nine shards in ten."""
+    index = read(spark, sf, "orders").select(F.col("o_orderkey").alias("tensor"), F.col("o_custkey").alias("shard"))
+    files = read(spark, sf, "customer").where("c_custkey % 10 > 0").select(F.col("c_custkey").alias("name"), F.floor("c_acctbal").alias("length"))
+    return readers.shard_totals(index, files)
+
+
+@query("fetch_plan", "SELECT c_custkey AS name, 1000::BIGINT AS size, CASE WHEN n = 1000 THEN 'done' WHEN n > 0 AND n < 1000 THEN 'partial' ELSE 'absent' END AS status, CASE WHEN n > 0 AND n < 1000 THEN n ELSE 0 END::BIGINT AS offset FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey % 1100) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) ON o_custkey = c_custkey")
+def fetch_plan(spark, sf):
+    """Files that are there, there in part or not, with the place where each goes on."""
+    wanted = read(spark, sf, "customer").select(F.col("c_custkey").alias("name"), F.lit(1000).cast("bigint").alias("size"))
+    have = read(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("name"), (F.col("o_orderkey") % 1100).cast("bigint").alias("length"))
+    return readers.to_fetch(wanted, have)
+
+
 @query("nested_entries", "SELECT DISTINCT id, CASE WHEN current_image <> '' THEN '/data/' || current_image ELSE current_image END AS image_path, current_text AS text, genre FROM dataset WHERE id IS NOT NULL")
 def nested_entries(spark, sf):
     """Rows as nested entries with absolute paths; an empty path stays empty."""
@@ -163,7 +201,7 @@ def first_candidate_per_key(spark, sf):
     return r.select("dataset_index", "file_name", F.when(F.col("status") == "missing", F.col("missing_reason")).alias("reason"))
 
 
-@query("candidate_statuses")
+@query("candidate_statuses", "WITH f AS (SELECT DISTINCT o_custkey AS i, o_orderkey % 6 AS k, CASE WHEN o_orderkey % 6 IN (2, 3) THEN o_orderkey % 120 END AS n, CASE WHEN o_orderkey % 6 = 4 THEN ' gone ' WHEN o_orderkey % 60 = 0 THEN ' ' ELSE 'a page' END AS content FROM orders), c AS (SELECT i, content, count(*) OVER (PARTITION BY i) AS names, row_number() OVER (PARTITION BY i ORDER BY CASE k WHEN 0 THEN 0 WHEN 2 THEN 5 WHEN 3 THEN 8 ELSE 11 END, n, content) AS r FROM f WHERE k IN (0, 2, 3, 5)) SELECT CASE WHEN i IS NULL THEN 'missing' WHEN trim(content) = '' THEN 'empty' ELSE 'ok' END AS status, count(*) AS n, sum(coalesce(names, 0))::BIGINT AS names FROM customer LEFT JOIN c ON i = c_custkey AND r = 1 GROUP BY 1")
 def candidate_statuses(spark, sf):
     wanted = read(spark, sf, "customer").select(F.lit("text").alias("modality"), F.col("c_custkey").cast("bigint").alias("dataset_index"))
     return D.resolve(D.listing(_listing(spark, sf)), wanted).groupBy("status").agg(F.count("*").alias("n"), F.sum(F.size("all_names")).alias("names"))
@@ -231,11 +269,13 @@ def chat_messages(spark, sf):
     return m.select("o_custkey", F.size("messages").alias("n"), F.size(F.filter("messages", lambda x: x["role"] == "assistant")).alias("answers"), F.element_at("messages", -1)["content"].alias("last"))
 
 
-@query("message_parts", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['image', 'text', 'audio'] ELSE ['text', 'audio', 'video'] END AS kinds, 0 AS gap FROM documents")
+@query("message_parts", "SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN ['image', 'text', 'audio'] ELSE ['text', 'audio', 'video'] END AS kinds, (length(text) - length(replace(text, ' the ', '')))::INT // 5 - CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END AS gap FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL")
 def message_parts(spark, sf):
+    """Parts put in order, and how many places of a text (here one word) have no image."""
     p = lambda k: F.struct(F.lit(k).alias("type"))
-    d = read(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.array(p("text"), p("audio"), p("image"))).otherwise(F.array(p("video"), p("audio"), p("text"))).alias("c"))
-    return d.select("doc_id", F.transform(R.reordered(F.col("c")), lambda x: x["type"]).alias("kinds"), R.placeholder_gap(F.when(F.col("doc_id") % 2 == 0, "<img>").otherwise("none"), "<img>", F.col("c"), "image").alias("gap"))
+    d = read(spark, sf, "documents").where("text is not null and n_chars is not null")
+    d = d.select("doc_id", "text", F.when(F.col("n_chars") % 2 == 0, F.array(p("text"), p("audio"), p("image"))).otherwise(F.array(p("video"), p("audio"), p("text"))).alias("c"))
+    return d.select("doc_id", F.transform(R.reordered(F.col("c")), lambda x: x["type"]).alias("kinds"), R.placeholder_gap(F.col("text"), " the ", F.col("c"), "image").alias("gap"))
 
 
 @query("content_key", "SELECT doc_id, sha256('{\"kind\": ' || to_json(kind) || ', \"n\": ' || to_json(n_chars::VARCHAR) || '}') AS key, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL AND kind IS NOT NULL AND n_chars IS NOT NULL")
@@ -294,12 +334,13 @@ def raw_speech_fallback(spark, sf):
     return readers.raw_speech(d, "o_custkey").select("o_custkey", "line", "name")
 
 
-@query("artifact_checks", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'blank' WHEN 1 THEN 'format' WHEN 2 THEN NULL ELSE 'empty' END AS problem FROM documents")
+@query("artifact_checks", "SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN CASE WHEN n_chars % 3 = 1 THEN NULL ELSE 'empty' END WHEN n_chars % 3 = 0 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 'blank' WHEN n_chars % 3 = 2 THEN 'format' END AS problem FROM documents WHERE n_chars IS NOT NULL")
 def artifact_checks(spark, sf):
-    k = F.col("doc_id") % 4
-    c = F.when(k == 0, F.unhex(F.lit("20090A"))).when(k == 1, F.unhex(F.lit("52494646000000004E4F5045"))).when(k == 2, F.unhex(F.lit("89504E470D0A1A0A0000000D"))).otherwise(F.unhex(F.lit("")))
-    m = F.when(k == 0, "text").when(k == 1, "speech").otherwise("image")
-    return read(spark, sf, "documents").select("doc_id", readers.artifact_problem(m, c).alias("problem"))
+    """Texts as text files, behind an image's first bytes, and as a speech file."""
+    k, own = F.col("n_chars") % 3, F.col("text").cast("binary")
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D")), F.coalesce(own, F.unhex(F.lit(""))))
+    m = F.when(k == 0, "text").when(k == 1, "image").otherwise("speech")
+    return read(spark, sf, "documents").where("n_chars is not null").select("doc_id", readers.artifact_problem(m, F.when(k == 1, png).otherwise(own)).alias("problem"))
 
 
 @query("sample_pipeline", "SELECT doc_id, upper('a page ' || doc_id) AS narration, upper('say ' || doc_id) AS speech, CASE WHEN doc_id % 10 = 0 THEN ['image'] ELSE [] END AS failed FROM documents")
@@ -316,11 +357,13 @@ def chat_pairs(spark, sf):
     return R.pairs(read(spark, sf, "orders"), ["o_custkey"], "o_orderkey", "o_orderpriority")
 
 
-@query("directed_messages", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Judge.' || chr(10) || 'No thinking.' ELSE 'No thinking.' END AS system, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 2 END AS n FROM documents")
+@query("directed_messages", "SELECT doc_id, CASE WHEN lang IS NOT NULL THEN lang || chr(10) || 'No thinking.' ELSE 'No thinking.' END AS system, 2 + (book IS NOT NULL)::INT AS n, coalesce(text, '') AS asked FROM documents")
 def directed_messages(spark, sf):
-    m = F.when(F.col("doc_id") % 2 == 0, F.array(R.message("system", F.lit("Judge.")), R.message("user", F.lit("x")))).otherwise(F.array(R.message("user", F.lit("x"))))
+    """A directive at the end of a system message that is there, or as one of its own."""
+    some = lambda r, c: F.when(F.col(c).isNotNull(), F.array(R.message(r, F.col(c)))).otherwise(F.array().cast("array<struct<role:string,content:string>>"))
+    m = F.concat(some("system", "lang"), F.array(R.message("user", F.coalesce("text", F.lit("")))), some("assistant", "book"))
     d = read(spark, sf, "documents").select("doc_id", R.with_directive(m, "No thinking.").alias("m"))
-    return d.select("doc_id", F.get("m", F.lit(0))["content"].alias("system"), F.size("m").alias("n"))
+    return d.select("doc_id", F.get("m", F.lit(0))["content"].alias("system"), F.size("m").alias("n"), F.get("m", F.lit(1))["content"].alias("asked"))
 
 
 @query("partial_rows", "SELECT count(*) FILTER (n IN (0, 3)) AS whole, count(*) FILTER (n IN (1, 2)) AS partial FROM (SELECT (CASE WHEN current_text IS NULL THEN 0 ELSE 1 END) + (CASE WHEN next_text IS NULL THEN 0 ELSE 1 END) + (CASE WHEN sample_path IS NULL THEN 0 ELSE 1 END) AS n FROM dataset)")

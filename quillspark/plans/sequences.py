@@ -144,13 +144,13 @@ def top_k(spark, sf):
 
 @query("top_p", "WITH l AS (SELECT vec_id, i, exp(embedding[i]::DOUBLE) AS e FROM embeddings, range(1, 65) t(i) WHERE i <= len(embedding)), p AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM l), c AS (SELECT vec_id, i, p, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, i ROWS UNBOUNDED PRECEDING) AS c FROM p) SELECT vec_id, count(*)::INT AS kept, min(i)::INT AS first_place FROM c WHERE c - p <= 0.5 GROUP BY vec_id")
 def top_p(spark, sf):
-    d = P.top_p(_vec(spark, sf).select("vec_id", F.slice("v", 1, 64).alias("v")), "vec_id", "v", 0.5)
+    d = P.top_p(_vec(spark, sf).select("vec_id", "v"), "vec_id", "v", 0.5)
     return d.groupBy("vec_id").agg(F.count("*").cast("int").alias("kept"), (F.min("place") + 1).alias("first_place"))
 
 
 @query("confidence", "WITH l AS (SELECT vec_id, i, exp(embedding[i]::DOUBLE) AS e FROM embeddings, range(1, 65) t(i) WHERE i <= len(embedding)), p AS (SELECT vec_id, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM l), o AS (SELECT vec_id, p, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC) AS r FROM p) SELECT vec_id, round(max(p), 6) AS top1, round(max(p) - max(p) FILTER (r = 2), 6) AS margin, round(sum(p * ln(p + 1e-10)), 6) AS neg_entropy FROM o GROUP BY vec_id")
 def confidence(spark, sf):
-    d = P.confidence(_vec(spark, sf).select("vec_id", F.slice("v", 1, 64).alias("v")), "vec_id", "v")
+    d = P.confidence(_vec(spark, sf).select("vec_id", "v"), "vec_id", "v")
     return d.select("vec_id", *[F.round(x, 6).alias(x) for x in ("top1", "margin", "neg_entropy")])
 
 
@@ -180,7 +180,7 @@ def cosine_neighbors(spark, sf):
     return V.nearest(d, d.where("vec_id % 100 = 0"), "vec_id", "embedding", 10).select("query", "key", F.round("cosine", 4).alias("cosine"))
 
 
-@query("greedy_match_f1")
+@query("greedy_match_f1", "WITH e AS (SELECT (vec_id // 8)::BIGINT AS g, vec_id % 2 AS s, vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT x.g, x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.v, y.v) AS c FROM e x JOIN e y ON x.g = y.g AND x.s = 0 AND y.s = 1), p AS (SELECT g, avg(c) AS p FROM (SELECT g, a, max(c) AS c FROM m GROUP BY ALL) GROUP BY g), r AS (SELECT g, avg(c) AS r FROM (SELECT g, b, max(c) AS c FROM m GROUP BY ALL) GROUP BY g) SELECT g, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM p JOIN r USING (g)")
 def greedy_match_f1(spark, sf):
     """Best-match precision, recall and F1 between the vectors of neighbouring labels."""
     d = read(spark, sf, "embeddings").select((F.floor(F.col("vec_id") / 8)).alias("g"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "vec_id")

@@ -66,20 +66,15 @@ def clean_values(spark, sf):
     return read(spark, sf, "documents").where("text is not null").select("doc_id", T.clean_value("text").alias("cleaned"))
 
 
-@query("plan_field_extract", f"""SELECT id, speech_speaker AS speaker, narration, speech FROM (SELECT DISTINCT id, {sql_collapse("trim(trim(" + sql_strip('speech_speaker') + ", '\"'), '''')")} AS speech_speaker, {sql_collapse("trim(trim(" + sql_strip('next_text') + ", '\"'), '''')")} AS narration, {sql_collapse("trim(trim(" + sql_strip('speech_utterance') + ", '\"'), '''')")} AS speech FROM dataset WHERE next_text IS NOT NULL AND speech_speaker IS NOT NULL AND speech_utterance IS NOT NULL AND NOT regexp_matches(next_text, '(?im)^{_WS}*[a-z_]+{_WS}*:') AND NOT regexp_matches(speech_utterance, '(?im)^{_WS}*[a-z_]+{_WS}*:'))""")
-def plan_field_extract(spark, sf):
-    """Fields written as a labelled plan and read back from it."""
-    d = read(spark, sf, "dataset").where("next_text is not null and speech_speaker is not null and speech_utterance is not null")
-    no_label = lambda c: ~F.col(c).rlike(rf"(?im)(?U)^{T.WS}*[a-z_]+{T.WS}*:")
-    d = d.where(no_label("next_text") & no_label("speech_utterance"))
-    plan = F.concat(F.lit("NARRATION: "), "next_text", F.lit("\nSPEAKER: "), "speech_speaker", F.lit("\nspeech : "), "speech_utterance")
-    got = T.plan_fields(plan)
-    return d.select("id", got["speaker"].alias("speaker"), got["narration"].alias("narration"), got["speech"].alias("speech")).distinct()
+_CLEAN = lambda c: sql_collapse("trim(trim(" + sql_strip(c) + ", '\"'), '''')")
+_FIELD = lambda name: _CLEAN(f"coalesce(v[list_position(k, '{name}') + 1], '')")
 
 
-@query("plan_field_extract_all")
+@query("plan_field_extract_all", f"""WITH p AS (SELECT DISTINCT id, concat_ws(chr(10), 'NARRATION: ' || next_text, 'SPEAKER: ' || speech_speaker, 'speech : ' || speech_utterance) AS t FROM dataset),
+l AS (SELECT id, list_transform(regexp_extract_all(t, '(?im)^{_WS}*([a-z_]+){_WS}*:', 1), lambda x: lower(x)) AS k, string_split_regex(t, '(?im)^{_WS}*[a-z_]+{_WS}*:') AS v FROM p)
+SELECT DISTINCT id, {_FIELD('speaker')} AS speaker, {_FIELD('narration')} AS narration, {_FIELD('speech')} AS speech FROM l""")
 def plan_field_extract_all(spark, sf):
-    """The same over all rows: what is null has no line in its plan, and labels inside the fields end them."""
+    """Fields written as a labelled plan and read back from it: what is null has no line in its plan, and labels inside the fields end them."""
     plan = F.concat_ws("\n", F.concat(F.lit("NARRATION: "), "next_text"), F.concat(F.lit("SPEAKER: "), "speech_speaker"), F.concat(F.lit("speech : "), "speech_utterance"))
     got = T.plan_fields(plan)
     return read(spark, sf, "dataset").select("id", got["speaker"].alias("speaker"), got["narration"].alias("narration"), got["speech"].alias("speech")).distinct()
@@ -100,10 +95,11 @@ def tag_segments(spark, sf):
     return d.select("doc_id", T.between_all("t", a, b).alias("segments"), T.without_between("t", [(a, b)]).alias("rest"), T.between_first("t", a, b).alias("first_segment"), T.between_last("t", a, b).alias("last_segment"))
 
 
-@query("assistant_payload", "SELECT doc_id, trim(CASE WHEN doc_id % 2 = 0 THEN kind ELSE book END) AS payload FROM documents WHERE book IS NOT NULL AND kind IS NOT NULL")
+@query("assistant_payload", "SELECT doc_id, trim(regexp_replace(CASE WHEN n_chars % 2 = 0 THEN text ELSE book END, '^\\s+', '')) AS payload FROM documents WHERE book IS NOT NULL AND text IS NOT NULL AND n_chars IS NOT NULL")
 def assistant_payload(spark, sf):
-    d = read(spark, sf, "documents").where("book is not null and kind is not null")
-    t = F.concat(F.lit("[ANSWER]: "), "book", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<eom>x[ANSWER] : "), "kind", F.lit("<eom> tail"))).otherwise(F.lit("")))
+    """The last of two answers with an end mark, or what follows an only mark."""
+    d = read(spark, sf, "documents").where("book is not null and text is not null and n_chars is not null")
+    t = F.concat(F.lit("[ANSWER]: "), "book", F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("<eom>x[ANSWER] : "), "text", F.lit("<eom> tail"))).otherwise(F.lit("")))
     return d.select("doc_id", T.last_payload(t, "[ANSWER]", "<eom>").alias("payload"))
 
 
@@ -112,12 +108,13 @@ def speech_text_normalize(spark, sf):
     return read(spark, sf, "speaker_metadata").select("speaker_id", T.speech_text("line").alias("spoken")).distinct()
 
 
-@query("strip_think_blocks", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN '' ELSE trim(kind) END AS answer FROM documents")
+@query("strip_think_blocks", f"SELECT doc_id, CASE WHEN n_chars % 3 = 2 THEN '' ELSE coalesce({sql_strip('text')}, '') END AS answer, CASE WHEN n_chars % 3 = 0 THEN 'a' || chr(10) || coalesce(lang, '') ELSE coalesce(nullif({sql_strip('book')}, ''), '') END AS thought FROM documents WHERE n_chars IS NOT NULL")
 def strip_think_blocks(spark, sf):
-    d = read(spark, sf, "documents")
-    k = F.col("doc_id") % 3
-    t = F.when(k == 0, F.concat(F.lit("<think>a\nb</think>  "), "kind")).when(k == 1, F.concat("kind", F.lit(" <think>open"))).otherwise(F.concat(F.lit("<think>never "), "kind"))
-    return d.select("doc_id", T.strip_think(t).alias("answer"))
+    """Texts behind a think block, before one that is left open, and inside one; and what was thought."""
+    d = read(spark, sf, "documents").where("n_chars is not null").withColumn("t", F.coalesce("text", F.lit(""))).withColumn("b", F.coalesce("book", F.lit("")))
+    k = F.col("n_chars") % 3
+    t = F.when(k == 0, F.concat(F.lit("<think>a\n"), F.coalesce("lang", F.lit("")), F.lit("x</think>  "), "t")).when(k == 1, F.concat("t", F.lit(" <think>"), "b")).otherwise(F.concat(F.lit("<think>"), "b"))
+    return d.select("doc_id", T.strip_think(t).alias("answer"), F.when(k == 0, F.regexp_replace(T.reasoning(t), "x$", "")).otherwise(T.reasoning(t)).alias("thought"))
 
 
 @query("line_decoration", "SELECT doc_id, trim(kind) AS plain, true AS speakable, trim(book) AS first_line FROM documents WHERE book IS NOT NULL")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,18 +45,46 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_KEPT: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Deletes the tables written inside it when it ends: for whoever has used up the results.
+
+    Without a scope they go when the session is stopped by close() or the application ends.
+    """
+    _KEPT.append([])
+    try:
+        yield spark
+    finally:
+        for s, path in _KEPT.pop():
+            _quietly(s, path)
+
+
+def close(spark: SparkSession) -> None:
+    """Delete what table() wrote and stop the session: on shared storage nothing is left behind."""
+    _release()
+    spark.stop()
+
+
+def _release() -> None:
+    for kept in _KEPT:
+        while kept:
+            _quietly(*kept.pop())
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
-    The written table replaces the lineage, is kept in a place that survives lost executors,
-    and is deleted when the application ends.
+    The written table replaces the lineage and is kept in a place that survives lost executors; see
+    scope() for how long.  Writing is a job, so whoever calls this is not lazy: operators that say
+    so run their first steps while their result is being built.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    import atexit
-
-    atexit.register(_quietly, spark, path)
+    _KEPT[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,6 +98,9 @@ def _quietly(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path[7:], ignore_errors=True)
 
 
+atexit.register(_release)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

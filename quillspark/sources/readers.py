@@ -52,12 +52,38 @@ def manifest(spark: SparkSession, path: str, version: int | None = None, root: s
     return m.select(F.posexplode("records").alias("position", "r")).select("position", "r.*")
 
 
+def is_manifest(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file is one object with schema_version and records; its beginning is enough to tell."""
+    if path.rstrip("/").rsplit(".", 1)[-1].lower() != "json":
+        return False
+    head = spark.read.option("multiLine", True).option("samplingRatio", 1.0).json(path)
+    return {"schema_version", "records"} <= set(head.columns)
+
+
+def records(spark: SparkSession, path: str, version: int | None = None, root: str | None = None) -> DataFrame:
+    """The records of a source: of a manifest, or else of an index table."""
+    return manifest(spark, path, version, root) if is_manifest(spark, path) else index_table(spark, index_path(spark, path), positions=False)
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, text: str = "raw") -> DataFrame:
     """JSON lines, blank ones skipped; a line that doesn't parse has nulls and keeps its text."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.col("value").alias(text)).select("r.*", text)
 
 
+def numbered_lines(spark: SparkSession, path: str, schema: T.StructType | str, text: str = "raw") -> DataFrame:
+    """json_lines() with ``ordinal``, the 0-based place among the lines that are not blank, over all files in the order of their names.
+
+    Places are told by file and place within the file's reading order; lines are counted per range first, so no task sees them all.
+    """
+    from quillspark.operators.contracts import ordinals
+
+    # a text scan has no line number: within a file lines come in order, block by block
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    got = ordinals(lines, ["_file", "_block", "_at"], "ordinal")
+    return got.select("ordinal", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.col("value").alias(text)).select("ordinal", "r.*", text)
+
+
 def json_any(spark: SparkSession, path: str) -> DataFrame | None:
     """JSON as lines, else as one array, else those lines that hold conversations or messages; None if nothing reads."""
     for options in ({}, {"multiLine": True}):
@@ -85,6 +111,8 @@ def by_suffix(spark: SparkSession, path: str) -> DataFrame:
     if kind in ("jsonl", "ndjson"):
         return spark.read.json(path)
     if kind == "json":
+        if is_manifest(spark, path):
+            return manifest(spark, path)
         got = json_any(spark, path)
         if got is None:
             raise ValueError(f"{path} holds no table")
@@ -139,6 +167,50 @@ def verified(listing: DataFrame, wanted: DataFrame) -> DataFrame:
     return j.select("name", F.coalesce(good, F.lit(False)).alias("ok"))
 
 
+def selected(wanted: DataFrame, include: list[str] = ()) -> DataFrame:
+    """(name, size, sha256, blob_sha1) of a remote listing that is to be fetched: names that meet any glob, all without one.
+
+    An absolute name, one with '..' or a backslash, or a selected one without size or digest is an error.
+    """
+    from quillspark.operators.candidates import like
+
+    pick = F.lit(not include)
+    for g in include:
+        pick = pick | F.col("name").rlike(like(g))
+    d = wanted.withColumn("_unsafe", F.col("name").isNull() | F.col("name").startswith("/") | F.contains("name", F.lit("\\")) | F.array_contains(F.split("name", "/"), ".."))
+    d = d.withColumn("_pick", pick & ~F.col("_unsafe")).withColumn("_bare", F.col("_pick") & (F.col("size").isNull() | (F.col("sha256").isNull() & F.col("blob_sha1").isNull())))
+    unsafe, bare = d.agg(F.count_if("_unsafe"), F.count_if("_bare")).first()
+    if unsafe or bare:
+        raise ValueError(f"{unsafe} unsafe names, {bare} without size or digest")
+    return d.where("_pick").select("name", "size", "sha256", "blob_sha1")
+
+
+def to_fetch(wanted: DataFrame, have: DataFrame) -> DataFrame:
+    """(name, size, status, offset): 'done' where the file is there with its size, else 'partial' with the bytes that are there, or 'absent'.
+
+    ``have`` has name and length; a longer file than wanted starts anew.
+    """
+    j = wanted.join(have.groupBy("name").agg(F.max("length").alias("_have")), "name", "left")
+    status = F.when(F.col("_have") == F.col("size"), "done").when((F.col("_have") > 0) & (F.col("_have") < F.col("size")), "partial").otherwise("absent")
+    return j.select("name", "size", status.alias("status"), F.when(status == "partial", F.col("_have")).otherwise(0).cast("bigint").alias("offset"))
+
+
+def totals(listing: DataFrame, name: str = "name", size: str = "size") -> DataFrame:
+    """One row: files, different files and bytes; a name that comes again counts once with its largest size."""
+    one = listing.groupBy(name).agg(F.count("*").alias("_n"), F.max(size).alias("_size"))
+    return one.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("files"), F.count("*").alias("names"), F.coalesce(F.sum("_size"), F.lit(0)).alias("bytes"))
+
+
+def shard_totals(index: DataFrame, listing: DataFrame) -> DataFrame:
+    """One row: tensors, different shards they lie in, their bytes, and shards without a file.
+
+    ``index`` has tensor and shard; ``listing`` has name and length.
+    """
+    shards = index.where("shard is not null").groupBy("shard").agg(F.count_distinct("tensor").alias("_tensors"))
+    j = shards.join(listing.groupBy(F.col("name").alias("shard")).agg(F.max("length").alias("_length")), "shard", "left")
+    return j.agg(F.coalesce(F.sum("_tensors"), F.lit(0)).alias("tensors"), F.count("*").alias("shards"), F.coalesce(F.sum("_length"), F.lit(0)).alias("bytes"), F.count_if(F.col("_length").isNull()).alias("missing"))
+
+
 def raw_speech(answers: DataFrame, by: str = "dataset_index", path: str = "path", content: str = "content") -> DataFrame:
     """(by, line, name, emotion, speed, pitch, gender) from the first raw answer (by path) of each sample.
 
@@ -153,6 +225,76 @@ def raw_speech(answers: DataFrame, by: str = "dataset_index", path: str = "path"
     return p.select(by, F.col("p.quote").alias("line"), *[F.when(spoken, F.col(f"p.{c}")).alias(c) for c in ("name", "emotion", "speed", "pitch", "gender")])
 
 
+def _uint(c: Column, at: Column | int, size: int, little: bool) -> Column:
+    """An unsigned number of ``size`` bytes at a 1-based place of a binary column; null beyond its end."""
+    raw = F.substring(c, F.lit(at) if isinstance(at, int) else at, F.lit(size))
+    digits = F.hex(raw)
+    if little:
+        digits = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in range(size - 1, -1, -1)])
+    return F.when(F.octet_length(raw) == size, F.conv(digits, 16, 10).cast("bigint"))
+
+
+def wav_facts(content: Column | str) -> Column:
+    """channels, rate, bits, frames and seconds of a PCM WAV file, by walking its chunks; null if it is none.
+
+    frames count what the file holds, which may be less than its header says; a file without a data
+    chunk among its first 32 has 0.
+    """
+    c = F.col(content) if isinstance(content, str) else content
+    start = F.struct(F.lit(13).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("fmt"), F.lit(None).cast("bigint").alias("data"), F.lit(None).cast("bigint").alias("size"))
+
+    def walk(s, _):
+        name, size = F.substring(c, s["at"].cast("int"), F.lit(4)).cast("string"), _uint(c, (s["at"] + 4).cast("int"), 4, True)
+        go = size.isNotNull()
+        return F.struct(
+            F.when(go, s["at"] + 8 + size + size % 2).otherwise(s["at"]).alias("at"), F.when(go & (name == "fmt ") & s["fmt"].isNull(), s["at"] + 8).otherwise(s["fmt"]).alias("fmt"),
+            F.when(go & (name == "data") & s["data"].isNull(), s["at"] + 8).otherwise(s["data"]).alias("data"), F.when(go & (name == "data") & s["data"].isNull(), size).otherwise(s["size"]).alias("size"),
+        )
+
+    w = F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, walk)
+    at = lambda k: (w["fmt"] + k).cast("int")
+    channels, rate, bits = _uint(c, at(2), 2, True), _uint(c, at(4), 4, True), _uint(c, at(14), 2, True)
+    held = F.least(w["size"], F.octet_length(c) - w["data"] + 1)
+    frames = F.coalesce(F.floor(F.try_divide(held, channels * F.ceil(bits / 8))), F.lit(0)).cast("bigint")
+    ok = (media_kind(c) == "wav") & w["fmt"].isNotNull() & (channels > 0) & (rate > 0) & (bits > 0)
+    return F.when(ok, F.struct(channels.alias("channels"), rate.alias("rate"), bits.alias("bits"), frames.alias("frames"), (frames / rate).alias("seconds")))
+
+
+def png_facts(content: Column | str) -> Column:
+    """width, height and whole of a PNG file; null if it is none. whole: header first, its checksum right, end mark last."""
+    c = F.col(content) if isinstance(content, str) else content
+    n = F.octet_length(c)
+    width, height = _uint(c, 17, 4, False), _uint(c, 21, 4, False)
+    header = (F.substring(c, F.lit(13), F.lit(4)).cast("string") == "IHDR") & (_uint(c, 9, 4, False) == 13) & (F.crc32(F.substring(c, F.lit(13), F.lit(17))) == _uint(c, 30, 4, False))
+    ended = F.hex(F.substring(c, (n - 11).cast("int"), F.lit(12))) == "0000000049454E44AE426082"
+    return F.when((media_kind(c) == "png") & (width > 0) & (height > 0), F.struct(width.alias("width"), height.alias("height"), F.coalesce(header & ended, F.lit(False)).alias("whole")))
+
+
+def broken_media(modality: Column | str, content: Column | str) -> Column:
+    """Why an artifact of the right format cannot be used: 'image' (no whole PNG), 'frames' (WAV without a frame); null if it can.
+
+    Formats other than PNG and WAV are not looked into.
+    """
+    m = F.col(modality) if isinstance(modality, str) else modality
+    c = F.col(content) if isinstance(content, str) else content
+    kind = media_kind(c)
+    return F.when((m == "image") & (kind == "png") & ~F.coalesce(png_facts(c)["whole"], F.lit(False)), "image").when((m == "speech") & (kind == "wav") & (F.coalesce(wav_facts(c)["frames"], F.lit(0)) == 0), "frames")
+
+
+def shrink_steps(width: Column, height: Column, size: Column, most: int, quality: int = 95, least: int = 35) -> Column:
+    """What a re-encoder is to try in turn until an image of ``size`` bytes fits ``most`` in base64: array of width, height, quality.
+
+    Qualities go down by 15 to ``least``, then the sides by a quarter at a time down to 64 pixels; an
+    image that fits has one step, its own size.  Encoding itself is the caller's.
+    """
+    step = lambda w, h, q: F.struct(w.cast("int").alias("width"), h.cast("int").alias("height"), q.cast("int").alias("quality"))
+    by_quality = F.transform(F.sequence(F.lit(quality), F.lit(least), F.lit(-15)), lambda q: step(width, height, q))
+    scales = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.pow(F.lit(0.75), k))
+    by_size = F.filter(F.transform(scales, lambda x: step(F.floor(width * x), F.floor(height * x), F.lit(least))), lambda s: (s["width"] >= 64) & (s["height"] >= 64))
+    fits = (F.floor((size + 2) / 3) * 4) <= most
+    return F.when(fits, F.array(step(width, height, F.lit(quality)))).otherwise(F.concat(by_quality, by_size))
+
+
 def artifact_problem(modality: Column | str, content: Column | str) -> Column:
     """Why a file is no artifact of its modality: 'empty', 'blank' or 'format'; null if it is one."""
     m = F.col(modality) if isinstance(modality, str) else modality

@@ -90,6 +90,9 @@ def preview(df: DataFrame, by: str, order: str, most: int) -> DataFrame:
     """The first rows of each source, with how many it has."""
     from pyspark.sql import Window
 
+    from quillspark.functions.skew import lookup_join
+
     n = df.groupBy(by).agg(F.count("*").alias("total"))
     w = Window.partitionBy(by).orderBy(order)
-    return df.withColumn("row", F.row_number().over(w)).where(F.col("row") <= most).join(F.broadcast(n), by)
+    # each task keeps ``most`` rows of a source before they are shuffled
+    return lookup_join(df.withColumn("row", F.row_number().over(w)).where(F.col("row") <= most), n, by, F.col(order))

@@ -26,24 +26,40 @@ def windowed_counts(events: DataFrame, late: str = "2 hours", size: str = "3 hou
 RUN = "user_id bigint, event_type string, n bigint"
 
 
-def runs(events: DataFrame) -> DataFrame:
-    """(user_id, event_type, n): each run of equal event types of a user as it ends; state is one type and one number a user."""
+def runs(events: DataFrame, quiet: str | None = None) -> DataFrame:
+    """(user_id, event_type, n): each run of equal event types of a user as it ends; state is one type and one number a user.
+
+    A user's rows of one trigger are put in order together, however many Arrow batches they come in;
+    rows that come in a later trigger count as later.  A run ends with the next event of another type;
+    with ``quiet`` (e.g. "1 hour", of the processing clock) also when its user has been silent for so
+    long, so that a user's last run comes too.
+    """
+    import numpy as np
+
+    wait = None if quiet is None else int(pd.Timedelta(quiet).total_seconds() * 1000)
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now, n = state.get if state.exists else (None, 0)
-        out = []
-        for pdf in batches:
-            for kind in pdf.sort_values(["ts", "event_id"]).event_type:
-                if kind == now:
-                    n += 1
-                else:
-                    if now is not None:
-                        out.append((key[0], now, n))
-                    now, n = kind, 1
-        state.update((now, n))
-        yield pd.DataFrame(out, columns=["user_id", "event_type", "n"])
-
-    return events.groupBy("user_id").applyInPandasWithState(step, RUN, "event_type string, n bigint", "append", "NoTimeout")
+        if state.hasTimedOut:
+            kind, n = state.get
+            state.remove()
+            yield pd.DataFrame([(key[0], kind, n)], columns=["user_id", "event_type", "n"])
+            return
+        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        kinds = pdf.event_type.astype(object).where(pdf.event_type.notna(), None).to_numpy()
+        at = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1]))
+        types, sizes = list(kinds[at]), np.diff(np.append(at, len(kinds))).tolist()
+        if state.exists:
+            kind, n = state.get
+            if kind == types[0]:
+                sizes[0] += n
+            else:
+                types, sizes = [kind, *types], [n, *sizes]
+        state.update((types[-1], sizes[-1]))
+        if wait is not None:
+            state.setTimeoutDuration(wait)
+        yield pd.DataFrame({"user_id": [key[0]] * (len(types) - 1), "event_type": types[:-1], "n": sizes[:-1]})
+
+    return events.groupBy("user_id").applyInPandasWithState(step, RUN, "event_type string, n bigint", "append", "NoTimeout" if wait is None else "ProcessingTimeTimeout")
 
 
 def collected(stream: DataFrame, name: str, mode: str, checkpoint: str, most_s: int = 120) -> DataFrame:
