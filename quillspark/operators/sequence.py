@@ -284,11 +284,11 @@ def padded_prompt(prefix: Column, prompt: Column, size: int, pad: int, tail: Col
 def allowed(vocabulary: DataFrame, name: str, token: str, prefix: str, end: int | None = None) -> DataFrame:
     """(token, unit): the tokens that a decoder may choose: those named ``prefix`` and a number, and the end mark (unit null).
 
-    ``vocabulary`` has a row per token.  Without any unit token that is an error of the caller's vocabulary.
+    ``vocabulary`` has a row per token.  One without any unit token is an error of the caller's; an empty one gives the end mark alone.
     """
     n = F.regexp_extract(name, rf"^{re.escape(prefix)}(\d+)\D*$", 1).try_cast("bigint")
     units = vocabulary.select(F.col(token).cast("bigint").alias("token"), n.alias("unit")).where("unit is not null and token is not null").distinct()
-    if units.isEmpty():
+    if units.isEmpty() and not vocabulary.isEmpty():
         raise ValueError(f"no token is named {prefix}<number>")
     if end is None:
         return units

@@ -225,13 +225,19 @@ def raw_speech(answers: DataFrame, by: str = "dataset_index", path: str = "path"
     return p.select(by, F.col("p.quote").alias("line"), *[F.when(spoken, F.col(f"p.{c}")).alias(c) for c in ("name", "emotion", "speed", "pitch", "gender")])
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _uint(c: Column, at: Column | int, size: int, little: bool) -> Column:
     """An unsigned number of ``size`` bytes at a 1-based place of a binary column; null beyond its end."""
-    raw = F.substring(c, F.lit(at) if isinstance(at, int) else at, F.lit(size))
-    digits = F.hex(raw)
-    if little:
-        digits = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in range(size - 1, -1, -1)])
-    return F.when(F.octet_length(raw) == size, F.conv(digits, 16, 10).cast("bigint"))
+
+    def number(digits):
+        parts = [F.substring(digits, 2 * k + 1, 2) for k in range(size)]
+        return F.when(F.length(digits) == 2 * size, F.conv(F.concat(*(reversed(parts) if little else parts)), 16, 10).cast("bigint"))
+
+    return _let(F.hex(F.substring(c, F.lit(at) if isinstance(at, int) else at, F.lit(size))), number)
 
 
 def wav_facts(content: Column | str) -> Column:
@@ -241,23 +247,30 @@ def wav_facts(content: Column | str) -> Column:
     chunk among its first 32 has 0.
     """
     c = F.col(content) if isinstance(content, str) else content
-    start = F.struct(F.lit(13).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("fmt"), F.lit(None).cast("bigint").alias("data"), F.lit(None).cast("bigint").alias("size"))
+    none = F.lit(None).cast("bigint")
+    start = F.struct(F.lit(13).cast("bigint").alias("at"), none.alias("fmt"), none.alias("data"), none.alias("size"))
 
     def walk(s, _):
-        name, size = F.substring(c, s["at"].cast("int"), F.lit(4)).cast("string"), _uint(c, (s["at"] + 4).cast("int"), 4, True)
-        go = size.isNotNull()
-        return F.struct(
-            F.when(go, s["at"] + 8 + size + size % 2).otherwise(s["at"]).alias("at"), F.when(go & (name == "fmt ") & s["fmt"].isNull(), s["at"] + 8).otherwise(s["fmt"]).alias("fmt"),
-            F.when(go & (name == "data") & s["data"].isNull(), s["at"] + 8).otherwise(s["data"]).alias("data"), F.when(go & (name == "data") & s["data"].isNull(), size).otherwise(s["size"]).alias("size"),
-        )
-
-    w = F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, walk)
-    at = lambda k: (w["fmt"] + k).cast("int")
-    channels, rate, bits = _uint(c, at(2), 2, True), _uint(c, at(4), 4, True), _uint(c, at(14), 2, True)
-    held = F.least(w["size"], F.octet_length(c) - w["data"] + 1)
-    frames = F.coalesce(F.floor(F.try_divide(held, channels * F.ceil(bits / 8))), F.lit(0)).cast("bigint")
-    ok = (media_kind(c) == "wav") & w["fmt"].isNotNull() & (channels > 0) & (rate > 0) & (bits > 0)
-    return F.when(ok, F.struct(channels.alias("channels"), rate.alias("rate"), bits.alias("bits"), frames.alias("frames"), (frames / rate).alias("seconds")))
+        def step(h):
+            first = lambda name, now, value: F.when((h["name"] == name) & now.isNull(), value).otherwise(now)
+            after = F.struct((s["at"] + 8 + h["size"] + h["size"] % 2).alias("at"), first("fmt ", s["fmt"], s["at"] + 8).alias("fmt"), first("data", s["data"], s["at"] + 8).alias("data"), first("data", s["size"], h["size"]).alias("size"))
+            return F.when(h["size"].isNull(), s).otherwise(after)
+
+        return _let(F.struct(F.substring(c, s["at"].cast("int"), F.lit(4)).cast("string").alias("name"), _uint(c, (s["at"] + 4).cast("int"), 4, True).alias("size")), step)
+
+    def facts(w):
+        at = lambda k: (w["fmt"] + k).cast("int")
+        head = F.struct(_uint(c, at(2), 2, True).alias("channels"), _uint(c, at(4), 4, True).alias("rate"), _uint(c, at(14), 2, True).alias("bits"))
+        held = F.least(w["size"], F.octet_length(c) - w["data"] + 1)
+
+        def told(h):
+            frames = F.coalesce(F.floor(F.try_divide(held, h["channels"] * F.ceil(h["bits"] / 8))), F.lit(0)).cast("bigint")
+            ok = w["fmt"].isNotNull() & (h["channels"] > 0) & (h["rate"] > 0) & (h["bits"] > 0)
+            return F.when(ok, F.struct(h["channels"].alias("channels"), h["rate"].alias("rate"), h["bits"].alias("bits"), frames.alias("frames"), (frames / h["rate"]).alias("seconds")))
+
+        return _let(head, told)
+
+    return F.when(media_kind(c) == "wav", _let(F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, walk), facts))
 
 
 def png_facts(content: Column | str) -> Column:
