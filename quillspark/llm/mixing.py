@@ -8,7 +8,8 @@ Only (source, length, count) rows reach the planning; seeded documents are then
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.sampling import smallest, uniform
@@ -29,23 +30,30 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length to take so that their sum is as close below ``budget`` as can be.
 
     The reachable sums are the bits of one number, shifted and joined by binary parts of each count.
+    Each sum keeps only the part that first reached it, so memory goes with the budget (about five
+    bytes a token) and not with the lengths; the search ends once the budget itself is reached.
     """
     full = (1 << (budget + 1)) - 1
     reach, parts = 1, []
+    first = np.zeros(budget + 1, np.int32)
     for k, (size, n) in enumerate(zip(lengths, counts)):
         n = min(n, budget // size) if size else 0
         step = 1
-        while n > 0:
+        while n > 0 and not reach >> budget & 1:
             take = min(step, n)
-            parts.append((k, take, reach))
-            reach = (reach | reach << (take * size)) & full
+            fresh = (reach << (take * size)) & full & ~reach
+            if fresh:
+                bits = np.unpackbits(np.frombuffer(fresh.to_bytes(budget // 8 + 1, "little"), np.uint8), bitorder="little")
+                first[np.flatnonzero(bits)] = len(parts)
+                parts.append((k, take))
+                reach |= fresh
             n -= take
             step *= 2
     at, used = reach.bit_length() - 1, [0] * len(lengths)
-    for k, take, before in reversed(parts):
-        if not before >> at & 1:
-            used[k] += take
-            at -= take * lengths[k]
+    while at:  # the sum before a part was reached by earlier parts only, so no part comes twice
+        k, take = parts[first[at]]
+        used[k] += take
+        at -= take * lengths[k]
     return used
 
 
@@ -78,8 +86,9 @@ def plan_lengths(lengths: list[int], counts: list[int], budget: int, repeats: in
             more = min(counts[k] - extra[k], -(-(left - 4 * LAST_TOKENS) // lengths[k]), left // lengths[k])
             extra[k] += more
             left -= more * lengths[k]
+    # more than 4 * LAST_TOKENS is only left where no remaining text fits, so this bounds the knapsack
     small = [k for k in order if extra[k] < counts[k] and lengths[k] <= left]
-    fill = knapsack([lengths[k] for k in small], [counts[k] - extra[k] for k in small], min(left, 4 * LAST_TOKENS))
+    fill = knapsack([lengths[k] for k in small], [counts[k] - extra[k] for k in small], left) if small else []
     for k, n in zip(small, fill):
         extra[k] += n
     return passes, extra
@@ -122,8 +131,6 @@ class Mix:
         sizes = self.histogram.groupBy("name").agg(F.sum(F.col("length") * F.col("n")).alias("own"))
         used = self.planned.groupBy("mix", "name").agg(F.sum(F.col("length") * (F.col("n") * F.col("passes") + F.col("extra"))).alias("size"))
         got = self.targets.join(sizes, "name", "left").join(used, ["mix", "name"], "left").withColumn("size", F.coalesce("size", F.lit(0))).withColumn("most", F.coalesce("own", F.lit(0)) * F.coalesce("max_repeats", F.lit(0)))
-        from pyspark.sql import Window
-
         share = F.try_divide(F.col("size").cast("double"), F.sum("size").over(Window.partitionBy("mix")))
         return got.select("mix", "source", "target_share", share.alias("actual_share"), "wanted", "size", "most", (F.col("most") < F.col("wanted")).alias("short"))
 
@@ -145,7 +152,9 @@ def _mix(spark: SparkSession, sf_dir: str) -> Mix:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each target whose source falls short of its share at its repeat cap."""
-    return _mix(spark, sf_dir).report().where("short").select("mix", "source").distinct()
+    got = _mix(spark, sf_dir).report()
+    # the fitted budget stays below what is wanted; that nothing more was to be had is checked on top
+    return got.where("size < wanted and short").select("mix", "source").distinct()
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,4 +168,13 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_shares": p8_shares, "p8_documents": p8_documents}
-ORACLE: dict[str, str] = {}
+_SQL_SPACES = " || ".join(f"chr({k})" for k in (*range(9, 14), *range(28, 33), 0xA0))
+_SQL_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+".replace("'", "''")
+ORACLE = {
+    # sizes in the pieces that the tokenizer splits texts into before it merges bytes, so of another tokenizer
+    "p8_found": f"""
+WITH d AS (SELECT doc_id, min(lower(trim(source, {_SQL_SPACES}))) AS name, max(coalesce(len(regexp_extract_all(text, '{_SQL_PIECES}')), 0)) AS n FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+s AS (SELECT name, sum(n) AS own FROM d GROUP BY name), t AS (SELECT coalesce(sum(n), 0) AS total FROM d)
+SELECT DISTINCT m.mix, m.source FROM mix_targets m CROSS JOIN t LEFT JOIN s ON s.name = lower(trim(m.source, {_SQL_SPACES}))
+WHERE m.mix IS NOT NULL AND m.source IS NOT NULL AND coalesce(own, 0) * coalesce(max_repeats, 0) < coalesce(target_share, 0) * coalesce(budget_ratio, 0) * total"""
+}
