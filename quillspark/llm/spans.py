@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.arrowtext import buffers, signed, slices
+from quillspark.functions.skew import counted_join
 from quillspark.llm import recompress
 from quillspark.session import read, table
 
@@ -28,6 +29,8 @@ LEAST, SEED = 200, 64
 STEP = 40
 #: Rows of one window above which texts meet by exact windows only.
 HOT = 64
+#: Tasks that the texts of one hot span are spread over when they are paired.
+SALTS = 16
 #: Rows (8 bytes each) up to which the list of texts is broadcast; above, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -117,12 +120,12 @@ class Shared:
         texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t")).where(F.length("t") >= least)
         texts = texts.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti")
         found = table(seed_table(texts, seed), "span-seeds")
-        shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-        per_doc = table(found.join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "size")).alias("seeds")), "span-shared")
+        shared = table(found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("h", "rows"), "span-shared-seeds")
+        per_doc = table(counted_join(found, shared, "h", "rows", F.col("doc_id")).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "size")).alias("seeds")), "span-shared")
         wanted = per_doc if per_doc.count() > BROADCAST_ROWS // 50 else F.broadcast(per_doc)
         windows = table(texts.join(wanted, "doc_id").mapInArrow(_window_rows(least, step), "w bigint, doc_id bigint, pos int, before string, after string"), "span-windows")
-        sizes = windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("w", "n")
-        self.windows = table(windows.join(sizes, "w"), "span-common")
+        sizes = windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("w", "n", F.col("n").alias("rows"))
+        self.windows = table(counted_join(windows, table(sizes, "span-window-sizes"), "w", "rows", F.col("doc_id")), "span-common")
 
     def cold(self) -> DataFrame:
         """(a, b, a_from, a_to, b_from, b_to): verified equal spans of two texts, a < b, one row per window."""
@@ -139,13 +142,15 @@ class Shared:
         s = self.step
         own = self.windows.where(F.col("n") > HOT).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(s)))).where(f"length(before) >= j and length(after) >= {s} - j")
         exact = own.select(F.expr(f"xxhash64(w, j, right(before, j), left(after, {s} - j))").alias("x"), "doc_id", F.expr("pos - j").alias("lo"))
-        many = exact.groupBy("x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count_distinct("doc_id").alias("n")).where("a < b").select("x", "n")
-        return exact.join(many, "x")
+        many = exact.groupBy("x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count_distinct("doc_id").alias("n"), F.count("*").alias("rows")).where("a < b").select("x", "n", "rows")
+        return counted_join(exact, table(many, "span-exact"), "x", "rows", F.col("doc_id"))
 
     def links(self) -> DataFrame:
         """(a, b): different texts that share a span, by their class names, a < b."""
         x = self.hot().select("x", "doc_id").distinct()
-        met = x.select("x", F.col("doc_id").alias("a")).join(x.select("x", F.col("doc_id").alias("b")), "x").where("a < b")
+        # a span that many texts have gives as many pairs as they have; its texts are spread over SALTS tasks
+        spread = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+        met = x.select("x", F.col("doc_id").alias("a"), spread).join(x.select("x", F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["x", "salt"]).where("a < b")
         return self.cold().select("a", "b").unionByName(met.select("a", "b")).distinct()
 
 
@@ -227,4 +232,11 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_report": p9_report}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    # every window of 200 characters of every text, by a 64-bit hash
+    "p9_found": """
+WITH d AS (SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200 GROUP BY doc_id),
+i AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d),
+w AS (SELECT DISTINCT doc_id, hash(substring(text, i, 200)) AS h FROM i)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id"""
+}
