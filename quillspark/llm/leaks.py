@@ -124,7 +124,8 @@ def candidates(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, i
     met = counted_join(hits, ranked, "h", "df", F.col("doc_id"))
     # positions fall into windows of twice the item's words, and two neighbouring windows count together; a shingle
     # that a window repeats counts again, which only lets more texts through to the comparison
-    placed = met.groupBy("doc_id", "item_id", F.floor(F.col("pos") / (F.col("words") * 2)).alias("win")).agg(F.count("*").alias("hits"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.first("half").alias("half"), F.first("words").alias("words"))
+    # (one exchange by document and item serves the windows, their neighbours and the result)
+    placed = met.repartition("doc_id", "item_id").groupBy("doc_id", "item_id", F.floor(F.col("pos") / (F.col("words") * 2)).alias("win")).agg(F.count("*").alias("hits"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.first("half").alias("half"), F.first("words").alias("words"))
     last = Window.partitionBy("doc_id", "item_id").orderBy("win")
     joins = F.lag("win").over(last) == F.col("win") - 1
     placed = placed.withColumn("both", F.col("hits") + F.when(joins, F.lag("hits").over(last)).otherwise(0)).withColumn("lo", F.when(joins, F.lag("lo").over(last)).otherwise(F.col("lo")))
