@@ -144,6 +144,18 @@ def test_leaks_add_up_over_a_long_text(spark):
     assert set(got) == {1} and 0.6 <= got[1] < 0.8
 
 
+def test_leaks_of_short_items(spark):
+    """Items of five to nineteen words: verbatim, and with half of their words in a row."""
+    r = random.Random(12)
+    items = [(n, " ".join(r.choices(WORDS, k=n))) for n in range(5, 20)]
+    docs = [(n, f"before {prose(400 + n, 20)} Then: {t.upper()}! after") for n, t in items] + [(100 + n, f"{prose(500 + n, 20)} so {' '.join(t.split()[: (n + 2) // 2 + 1])} it") for n, t in items if n >= 10]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in leaks.leaks(d, i).collect()}
+    split = lambda t: [w.strip(".,;!:") for w in t.lower().split()]
+    want = {(a, b) for a, t in docs for b, u in items if contain.share(split(u), split(t)) >= 0.5 or f" {' '.join(split(u))} " in f" {' '.join(split(t))} "}
+    assert got == want and {(n, n) for n, _ in items} | {(100 + n, n) for n, _ in items if n >= 10} <= got
+
+
 def test_leaks_odd_input(spark):
     d = "doc_id bigint, text string, h string, item_id bigint, share double, words int"
     i = "item_id bigint, text string, doc_id bigint, h string"
@@ -187,6 +199,37 @@ def test_canon_odd_input(spark, monkeypatch):
     assert {(x.speaker_id, x.label) for x in canon.mapped(values.where("field_name is not null"), ref).collect()} == want
 
 
+def test_canon_blocks_agree_on_overlapping_names(spark, monkeypatch):
+    """Longest mentions and the most similar names win over all blocks, whatever block a name is in."""
+    names = ["york", "new york", "new york city", "city", "city hall", "hall", "salt lake city", "lake", "green lake"]
+    ref = spark.createDataFrame([("place", n, ["old " + n] if n == "york" else []) for n in names], "field_name string, label string, aliases array<string>")
+    values = ["new york city hall", "yrk new cty", "in old york", "grene lake", "the salt lake city", "york city", "xyz", "salt laek", "hall of lake", "green lake hall", "new yorkk"]
+    v = spark.createDataFrame([(k, "place", x) for k, x in enumerate(values)], "speaker_id bigint, field_name string, value string")
+    whole = {x.value: (x.label, x.score) for x in canon.map_values(v, ref).collect()}
+    matcher = canon.Matcher([(n, n) for n in names] + [("old york", "york")])
+    assert whole == {x: matcher.label(x) for x in values}
+    assert whole["yrk new cty"][0] == "new york city" and whole["in old york"][0] == "york" and whole["xyz"][0] == "unmatched" and whole["the salt lake city"][0] == "salt lake city"
+    assert whole["new york city hall"][0] == "unmatched"  # new york city, and hall beside it
+    for block in (1, 2, 4):
+        monkeypatch.setattr(canon, "BLOCK", block)
+        monkeypatch.setattr(canon, "VALUES", 1 + block)
+        assert {x.value: (x.label, x.score) for x in canon.map_values(v, ref).collect()} == whole
+
+
+def test_close_words_are_those_of_the_plain_comparison():
+    r = random.Random(7)
+    words = list(dict.fromkeys("".join(r.choice("abcdeilnorst") for _ in range(r.randint(1, 11))) for _ in range(400)))
+    index = canon.Words(words)
+    for _ in range(150):
+        w = list(r.choice(words))
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(w))
+            w[at : at + r.randint(0, 2)] = r.choice(["", "x", "ed", w[at] * 2])
+            w = w or ["a"]
+        w = "".join(w)
+        assert dict(index.close(w)) == {k: c for k, x in enumerate(words) if (c := canon._closeness(w, x))}
+
+
 # ---- 4: cut texts
 
 
@@ -206,7 +249,15 @@ def test_cut(spark):
 
 def test_cut_structure():
     assert cut.look('{"a": {"b": "c."}')["opened"] and not cut.look('{"a": {"b": "c."}}')["opened"]
-    assert cut.look("```json\n{}")["opened"] and cut.look("text�")["marked"] and not cut.look("all of it.")["marked"]
+    assert cut.look("```json\n{}")["opened"] and cut.look("text\ufffd")["marked"] and not cut.look("all of it.")["marked"]
+
+
+def test_cut_in_a_very_long_word(spark):
+    """A token of 100,000 characters in the vocabulary, and a last word of 300 that is its beginning."""
+    long = "".join(random.Random(2).choices("abcdefgh", k=100_000))
+    rows = [(k, "a", "e", f"value {k} ends here as it should, token {long} stands inside of it.") for k in range(4)] + [(9, "a", "e", "value 9 ends, token " + long[:300]), (10, "a", "e", "value 10 ends, token qqq " + "z" * 300)]
+    got = {x.row: x for x in cut.cut_values(spark.createDataFrame(rows, "row bigint, source string, field_name string, value string")).collect()}
+    assert got[9].why == "word" and "trie" in got[9].evidence and "trie" not in got[10].evidence and not any(got[k].cut for k in range(4))
 
 
 # ---- 6: consensus
@@ -229,6 +280,22 @@ def test_consensus_finds_the_reliable(spark):
     assert min(rel[j] for j in ("good1", "good2", "good3")) > 0.8 > 0.3 > max(rel["always8"], rel["random"])
 
 
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_consensus_by_joins_is_the_same(spark, monkeypatch, rounds):
+    """Above the number of judges whose matrices are sent the rounds go as joins, with equal results."""
+    r = random.Random(8)
+    votes = [(i, m, "c", f"j{j}", min(10, max(1, 3 + i % 5 + r.choice([0, 0, 0, 1, -1, j % 3])))) for i in range(60) for m in ("text", "image") for j in range(7) if r.random() < 0.8]
+    df = spark.createDataFrame(votes, "index bigint, modality string, category string, judge string, score int")
+    sent = consensus.Model(df, rounds)
+    monkeypatch.setattr(consensus, "SENT_JUDGES", 1)
+    joined = consensus.Model(df, rounds)
+    assert sent.sent and not joined.sent
+    got, want = ({(x["index"], x.modality): x for x in m.consensus().collect()} for m in (joined, sent))
+    assert set(got) == set(want) and all((got[k].score, got[k].n_scores, got[k].n_different) == (x.score, x.n_scores, x.n_different) and abs(got[k].confidence - x.confidence) < 1e-9 for k, x in want.items())
+    got, want = ({x.judge: (x.n_scores, *(round(v, 8) for v in (x.exact, x.near, x.bias))) for x in m.reliability().collect()} for m in (joined, sent))
+    assert got == want and len(want) == 7
+
+
 def test_agreement_by_hand(spark):
     rows = [(1, "t", "c", "a", 5), (1, "t", "c", "b", 5), (2, "t", "c", "a", 6), (2, "t", "c", "b", 7), (3, "t", "c", "a", 6)]
     df = spark.createDataFrame(rows, "index bigint, modality string, category string, judge string, score int")
@@ -290,6 +357,33 @@ def test_sample_two_margins(spark):
         assert abs(r.drawn / 400 - r.target_share) < 0.06
 
 
+@pytest.mark.parametrize("cells", [0, 1_000_000])
+def test_sample_margins_with_minimums(spark, monkeypatch, cells):
+    """Exactly the asked rows, every minimum that can be met, and shares at their targets; as a table of combinations too."""
+    monkeypatch.setattr(proportions, "DRIVER_CELLS", cells)
+    monkeypatch.setattr(proportions, "ROUNDS", 8)
+    rows = [(f"i{k}", "b" if k % 50 == 0 else "c" if k % 200 == 7 else "a", "y" if k % 7 == 0 else "z" if k % 300 == 8 else "x") for k in range(3000)]
+    data = spark.createDataFrame(rows, "id string, f string, g string")
+    t = "plan string, field_name string, category string, target_share double, min_rows int, sample_rows bigint"
+    targets = [("p", "f", "a", 0.93, 0, 400), ("p", "f", "b", 0.05, 40, 400), ("p", "f", "c", 0.02, 30, 400), ("p", "g", "x", 0.8, 0, 400), ("p", "g", "y", 0.19, 5, 400), ("p", "g", "z", 0.01, 12, 400)]
+    drawn, report = proportions.samples(data, spark.createDataFrame(targets, t))
+    got = {r.category: r for r in report.collect()}
+    assert drawn.count() == 400 and sum(got[c].drawn for c in "abc") == sum(got[c].drawn for c in "xyz") == 400
+    assert got["b"].drawn >= 40 and got["c"].drawn == got["c"].available == 15 and got["z"].drawn == got["z"].available == 8
+    assert {c for c, r in got.items() if r.short} == {"c", "z"}
+    assert abs(got["y"].drawn - 76) <= 3 and abs(got["b"].drawn - 40) <= 2
+
+
+def test_combinations_are_counted_as_they_occur(spark):
+    """Seven margins of ten categories: ten million possible combinations, few that occur."""
+    rows = [(f"i{k}", *(f"v{(k + d) % 10}" for d in range(7))) for k in range(500)]
+    data = spark.createDataFrame(rows, "id string, " + ", ".join(f"f{d} string" for d in range(7)))
+    t = "plan string, field_name string, category string, target_share double, min_rows int, sample_rows bigint"
+    targets = [("p", f"f{d}", f"v{v}", 0.1, 2, 100) for d in range(7) for v in range(10)]
+    drawn, report = proportions.samples(data, spark.createDataFrame(targets, t))
+    assert drawn.count() == 100 and all(9 <= r.drawn <= 11 and not r.short for r in report.collect())
+
+
 # ---- 8: mixing
 
 
@@ -304,6 +398,22 @@ def test_knapsack_is_best():
         assert all(u <= n for u, n in zip(used, counts)) and sum(a * n for a, n in zip(lengths, used)) == best
 
 
+def test_knapsack_of_many_lengths_stays_small():
+    import tracemalloc
+
+    r = random.Random(6)
+    lengths = r.sample(range(1, 60_000), 30_000)
+    tracemalloc.start()
+    used = mixing.knapsack(lengths, [r.randint(1, 9) for _ in lengths], 131_072)
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(a * n for a, n in zip(lengths, used)) == 131_072 and top < 50_000_000
+    # even lengths never reach an odd budget: the search goes through all of them
+    lengths = r.sample(range(2, 60_000, 2), 20_000)
+    used = mixing.knapsack(lengths, [3] * 20_000, 131_071)
+    assert sum(a * n for a, n in zip(lengths, used)) == 131_070
+
+
 def test_plan_lengths_fills_budgets():
     r = random.Random(5)
     for _ in range(30):
