@@ -1,6 +1,7 @@
 """The entry point: every query runs over the smallest tables, and agrees with its SQL."""
 
 import glob
+import importlib
 import os
 
 import duckdb
@@ -10,7 +11,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-CORE = [n for n in entry.queries() if not (n[:1] == "p" and n[1:2].isdigit()) or n.startswith("p2_")]
+CORE = [n for m in entry.CORE for n in importlib.import_module(m).QUERIES]
 
 
 def plain(x):
