@@ -3,15 +3,19 @@
 Evidence is learned from all values and then combined for each:
 
 * the vocabulary of a field, as a trie: a table of nodes, each a hash of a known word's beginning;
-  a value whose last word is no known word but such a node was cut inside it, and likewise a last
-  line that is a proper prefix of a line that values usually end with;
-* how often a pair of words, or a word, stands before a full stop, a semicolon or the end;
+  a value whose last word is no known word but such a node was cut inside it, and likewise one whose
+  last word never follows the word before it while longer words with this beginning do, and a last line
+  that is a proper prefix of a line that values usually end with;
+* how often a pair of words, or a word, stands before a full stop, a semicolon or the end; marks put in
+  place of an end are taken off first, for what stands before them is no more a word than any other cut end;
 * how often a field's values end with a sentence at all;
 * brackets, fences, quotes and parentheses that stay open, and marks put in place of an end;
 * lengths, in characters or bytes, at which a source's values pile up: its limit.
 
-Every value is asked for every kind of evidence.  Texts are read and word pairs counted batch by batch
-in Python: the same in Spark expressions takes twice the time (explode, trims and wide keys per word).
+What grows with the number of values (how often cuts left the same beginning of a word) is held against what
+else grows with it, never against a fixed number alone.  Every value is asked for every kind of evidence.  Texts
+are read and word pairs counted batch by batch in Python: the same in Spark expressions takes twice the time
+(explode, trims and wide keys per word).
 """
 
 from __future__ import annotations
@@ -34,10 +38,18 @@ KINDS = ("mark", "open", "line", "trie", "sentence", "ending", "length")
 FOOTER = 40
 #: A word or line is known from this many places on.
 KNOWN = 3
-#: A last line is usual if this share of a field's values has it, its digits aside.
+#: And from this many for each place where a value breaks off behind it.
+KNOWN_SHARE = 0.1
+#: A last line, or a last word without a full stop, is usual if this share of a field's values has it, its digits aside.
 USUAL = 0.002
 #: An ending is unusual if fewer than this share of its word's occurrences end there.
 SELDOM = 0.02
+#: Longer words must have followed a word this often to say that a shorter one is a beginning of theirs.
+LONGER = 20
+#: Values end at a pair of words of which this share, or less, of the ends is there that its closing marks let expect ...
+STRAY = 0.1
+#: ... if so many are expected.
+STRAY_LEAST = 20
 #: A field whose values end with a sentence this often has hardly a complete one that doesn't.
 MOSTLY = 0.9
 
@@ -55,6 +67,14 @@ def strip(token: str) -> str:
     return token.strip("\"'`“”‘’.,;:!?()[]{}…")
 
 
+def unmarked(text: str) -> str:
+    """A text, without spaces behind it, without the mark at its end."""
+    if not text.endswith(("]", "…", "...", ">", ")", "�")):
+        return text
+    found = MARK.search(text)
+    return text[: found.start()] if found else text
+
+
 def _apostrophes(text: str) -> int:
     """Quotation marks among the apostrophes of a plain text."""
     return len(re.findall(r"(?<![^\W_])'|'(?![^\W_])", text))
@@ -63,7 +83,7 @@ def _apostrophes(text: str) -> int:
 def look(value: str) -> dict:
     """What can be told of a value's end from itself."""
     text = value.rstrip()
-    marked = bool(MARK.search(text))
+    marked = unmarked(text) != text
     line = text.rsplit("\n", 1)[-1].strip() if "\n" in text else ""
     line = mask(line) if 0 < len(line) <= FOOTER and not any(c in line for c in '{}"') else ""
     braces = "{" in text
@@ -84,7 +104,7 @@ def _tail(text: str) -> tuple[bool, str, str]:
 
 
 def _words(batches):
-    """Counts of word pairs within a batch: before, word, how often, how often closed, how often last."""
+    """Counts of word pairs within a batch: before, word, how often, how often closed, last, last without being closed."""
     for b in batches:
         for field in set(b.column("field_name").to_pylist()):
             pairs: Counter = Counter()
@@ -92,24 +112,23 @@ def _words(batches):
             for f, value in zip(b.column("field_name").to_pylist(), b.column("value").to_pylist()):
                 if f != field:
                     continue
-                words = mask(value).split()
+                words = mask(unmarked(value.rstrip())).split()
+                if not words:
+                    continue
                 pairs.update(zip(words, words[1:]))
                 lasts[words[-2] if len(words) > 1 else "", words[-1]] += 1
             merged: dict = {}
-            for (x, y), n in pairs.items():
-                m = merged.setdefault((strip(x), strip(y)), [0, 0, 0])
-                final = lasts.pop((x, y), 0)
+            for (x, y), n in [*pairs.items(), *((k, 0) for k in lasts.keys() - pairs.keys())]:
+                m = merged.setdefault((strip(x), strip(y)), [0, 0, 0, 0])
+                final = lasts[x, y]
+                n = n or final
+                closed = y.rstrip("\"'`)]”").endswith((".", ";", "!", "?", "}"))
                 m[0] += n
+                m[1] += n * closed
                 m[2] += final
-                if y.rstrip("\"'`)]”").endswith((".", ";", "!", "?", "}")):
-                    m[1] += n
-            for (x, y), n in lasts.items():
-                m = merged.setdefault((strip(x), strip(y)), [0, 0, 0])
-                m[0] += n
-                m[2] += n
-                m[1] += n * y.rstrip("\"'`)]”").endswith((".", ";", "!", "?", "}"))
+                m[3] += final * (not closed)
             rows = [(field, x, y, *m) for (x, y), m in merged.items() if y]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["field_name", "before", "word", "n", "closed", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["field_name", "before", "word", "n", "closed", "last", "open"])
 
 
 def _ends(batches):
@@ -137,6 +156,17 @@ def nodes(words: DataFrame, lengths: list[int]) -> DataFrame:
     return words.select(F.explode(F.transform(inner, lambda k: F.xxhash64("field_name", F.substring(F.col("word"), F.lit(1), k)))).alias("node")).distinct()
 
 
+def followers(pairs: DataFrame) -> DataFrame:
+    """(follow, longer): how often longer words with the same beginning follow a word, for each pair that a value breaks off behind.
+
+    ``pairs`` has field_name, before, word, seen and open; follow is the hash of field, word before and beginning.
+    """
+    depths = pairs.where("open > 0").groupBy("field_name", "before").agg(F.collect_set(F.length("word")).alias("depths"))
+    inner = F.filter("depths", lambda k: k < F.length("word"))
+    longer = pairs.where("seen > 0").join(depths, ["field_name", "before"]).select("field_name", "before", "word", "seen", F.explode(inner).alias("k"))
+    return longer.groupBy(F.xxhash64("field_name", "before", F.substring("word", F.lit(1), F.col("k"))).alias("follow")).agg(F.sum("seen").alias("longer"))
+
+
 def prefixes(words: DataFrame) -> DataFrame:
     """(field_name, prefix): the proper prefixes of ``words`` (field_name, word), which are short lines."""
     long = words.select("field_name", "word").where(F.length("word") > 1)
@@ -162,12 +192,16 @@ def cut_values(values: DataFrame) -> DataFrame:
     """
     values = values.where(r"row is not null and value is not null and trim(regexp_replace(value, '[\\s\\p{Z}]+', ' ')) <> ''").select(F.col("row").cast("bigint").alias("row"), F.coalesce("source", F.lit("")).alias("source"), "field_name", "value")
     ends = table(values.mapInArrow(_ends, ENDS).dropDuplicates(["row", "field_name"]), "cut-ends")
-    pairs = values.select("field_name", "value").mapInArrow(_words, "field_name string, before string, word string, n bigint, closed bigint, last bigint")
-    pairs = table(pairs.groupBy("field_name", "before", "word").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed"), F.sum("last").alias("last")), "cut-pairs")
-
-    words = table(pairs.groupBy("field_name", "word").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed"), F.sum("last").alias("last")), "cut-words")
-    known = words.where(F.col("n") - F.col("last") + F.col("closed") >= KNOWN)
-    fields = table(ends.groupBy("field_name").agg(F.count("*").alias("values"), F.avg(F.col("body_ended").cast("double")).alias("ended_share")), "cut-fields")
+    pairs = values.select("field_name", "value").mapInArrow(_words, "field_name string, before string, word string, n bigint, closed bigint, last bigint, open bigint")
+    counts = [F.sum(c).alias(c) for c in ("n", "closed", "last", "open")]
+    seen = F.col("n") - F.col("last") + F.col("closed")
+    pairs = table(pairs.groupBy("field_name", "before", "word").agg(*counts).withColumn("seen", seen), "cut-pairs")
+
+    words = table(pairs.groupBy("field_name", "word").agg(*counts), "cut-words")
+    # the same beginning of a word is left by many cuts of many values: seen elsewhere, it must be so often enough
+    known = words.where((seen >= KNOWN) & (seen >= KNOWN_SHARE * F.col("open")))
+    fields = ends.groupBy("field_name").agg(F.count("*").alias("values"), F.avg(F.col("body_ended").cast("double")).alias("ended_share"))
+    fields = table(fields.join(words.groupBy("field_name").agg((F.sum("last") / F.nullif(F.sum("closed"), F.lit(0))).alias("ends_a_closing")), "field_name", "left"), "cut-fields")
     lines = lookup_join(ends.where("line <> ''").groupBy("field_name", F.col("line").alias("word")).agg(F.count("*").alias("n")), fields, "field_name", F.col("word"))
     usual = lines.where((F.col("n") >= KNOWN) & (F.col("n") >= USUAL * F.col("values"))).select("field_name", "word")
     usual = table(usual, "cut-lines")
@@ -179,14 +213,30 @@ def cut_values(values: DataFrame) -> DataFrame:
     last = (
         last.withColumn("node", F.xxhash64("field_name", "word"))
         .join(known.select("field_name", "word", F.lit(True).alias("known")), ["field_name", "word"], "left")
-        .join(words.select("field_name", "word", F.col("n").alias("wn"), F.col("closed").alias("wc"), F.col("last").alias("wl")), ["field_name", "word"], "left")
+        .join(words.select("field_name", "word", *[F.col(c).alias(f"w_{c}") for c in ("n", "closed", "last", "open")]), ["field_name", "word"], "left")
         .join(nodes(known, lengths).withColumn("inside", F.lit(True)), "node", "left")
-        .join(pairs.select("field_name", "before", "word", F.col("n").alias("pn"), F.col("closed").alias("pc"), F.col("last").alias("pl")), ["field_name", "before", "word"], "left")
+        .join(pairs.select("field_name", "before", "word", *[F.col(c).alias(f"p_{c}") for c in ("n", "closed", "last", "open", "seen")]), ["field_name", "before", "word"], "left")
+        .withColumn("follow", F.xxhash64("field_name", "before", "word"))
+        .join(followers(pairs), "follow", "left")
     )
-    # a word that mostly comes last, again and again, ends there by nature; cuts are spread over words
-    natural = lambda n, c, z: F.when((F.col(n) >= 4) & (F.col(z) >= 0.6 * F.col(n)), 1.0).otherwise(F.col(c) / F.col(n))
-    rate = F.when(F.col("pn") >= 4, natural("pn", "pc", "pl")).otherwise(F.coalesce(natural("wn", "wc", "wl"), F.lit(0.0)))
-    last = table(last.select(F.concat_ws("\0", "field_name", "before", "word").alias("k"), F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("inside", F.lit(False)).alias("inside"), rate.alias("rate")), "cut-last")
+    last = lookup_join(last, fields.select("field_name", "values", "ends_a_closing"), "field_name", F.col("word"))
+
+    def natural(x: str):
+        """Mostly last and in a good share of the values: such a word ends there by nature; cuts are spread over words."""
+        return (F.col(f"{x}_last") >= 4) & (F.col(f"{x}_last") >= USUAL * F.col("values")) & (F.col(f"{x}_last") >= 0.6 * F.col(f"{x}_n"))
+
+    def closing(x: str):
+        """The share that is closed of those places where the value goes on or is closed."""
+        return F.col(f"{x}_closed") / F.nullif(F.col(f"{x}_n") - F.col(f"{x}_open"), F.lit(0))
+
+    rate = F.when(natural("p"), 1.0).when((F.col("p_n") >= 4) & (F.col("p_n") > F.col("p_open")), closing("p")).when(natural("w"), 1.0).otherwise(F.coalesce(closing("w"), F.lit(0.0)))
+    seldom = ~((F.col("p_seen") >= KNOWN) & (F.col("p_seen") >= KNOWN_SHARE * F.col("p_open")))
+    part_of_longer = seldom & (F.col("longer") >= LONGER) & (F.col("p_open") <= KNOWN_SHARE * F.col("longer"))
+    inside = F.coalesce(F.col("inside") & F.col("known").isNull(), F.lit(False)) | F.coalesce(part_of_longer, F.lit(False))
+    # closed again and again, but within the values: "two objects held x; neither was complete"
+    expected = F.col("p_closed") * F.col("ends_a_closing")
+    stray = F.coalesce((expected >= STRAY_LEAST) & (F.col("p_last") <= STRAY * expected), F.lit(False))
+    last = table(last.select(F.concat_ws("\0", "field_name", "before", "word").alias("k"), inside.alias("trie"), rate.alias("rate"), stray.alias("stray")), "cut-last")
     line = ends.where("line <> ''").select("field_name", F.col("line").alias("word")).distinct()
     line = line.join(usual.withColumn("usual", F.lit(True)), ["field_name", "word"], "left").join(part.select("field_name", F.col("prefix").alias("word"), F.lit(True).alias("part")), ["field_name", "word"], "left")
     line = table(line.select(F.concat_ws("\0", "field_name", "word").alias("lk"), F.coalesce("usual", F.lit(False)).alias("usual"), F.coalesce("part", F.lit(False)).alias("part")), "cut-line")
@@ -198,9 +248,9 @@ def cut_values(values: DataFrame) -> DataFrame:
         got = lookup_join(got, table(limits(ends, size), "cut-limits"), ["source", "field_name", size], F.col("row"), how="left")
     got = lookup_join(got, fields, "field_name", F.col("row"))
     usual_, part_ = F.coalesce("usual", F.lit(False)), F.coalesce("part", F.lit(False))
-    got = got.withColumn("open_end", ~usual_ & ~F.col("ended")).withColumn("trie", F.col("inside") & ~F.col("known")).withColumn("length", F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False)))
+    got = got.withColumn("open_end", ~usual_ & ~F.col("ended")).withColumn("length", F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False)))
     open_end, trie, length = F.col("open_end"), F.col("trie"), F.col("length")
-    line_, sentence, ending = part_ & ~usual_ & F.col("body_ended"), open_end & (F.col("ended_share") >= MOSTLY), open_end & (F.col("rate") < SELDOM)
+    line_, sentence, ending = part_ & ~usual_ & F.col("body_ended"), open_end & (F.col("ended_share") >= MOSTLY), open_end & ((F.col("rate") < SELDOM) | F.col("stray"))
     # a length at a limit decides together with anything that a complete value hardly has
     limit = length & (F.col("space") | (open_end & ((F.col("rate") < 0.2) | trie)))
     why = F.when(F.col("marked"), "mark").when(F.col("opened"), "open").when(line_, "line").when(open_end & trie, "word").when(sentence, "sentence").when(ending, "ending").when(limit, "length")
