@@ -400,8 +400,11 @@ def stream_window_counts(spark, sf):
 
 @query("stream_runs", "WITH o AS (SELECT user_id, event_type, row_number() OVER w AS p, lag(event_type) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum((p = 1 OR event_type IS DISTINCT FROM b)::INT) OVER (PARTITION BY user_id ORDER BY p) AS run FROM o), g AS (SELECT user_id, run, any_value(event_type) AS event_type, count(*) AS n FROM r GROUP BY user_id, run) SELECT user_id, event_type, n FROM g QUALIFY run < max(run) OVER (PARTITION BY user_id)")
 def stream_runs(spark, sf):
-    """Runs of equal events per user, given when they end: arbitrary state by user."""
+    """Runs of equal events per user, given when they end: arbitrary state by user.
+
+    The files of a table are in no order of time, so they are taken in one trigger.
+    """
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     table = read(spark, sf, "events")
-    s = status.event_stream(spark, f"{sf}/events.parquet*", table.schema)
+    s = status.event_stream(spark, f"{sf}/events.parquet*", table.schema, None)
     return status.collected(status.runs(s), f"runs_{uuid.uuid4().hex}", "append", at)

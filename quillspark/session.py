@@ -74,6 +74,11 @@ def _release() -> None:
             _quietly(*kept.pop())
 
 
+def keep(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the scope ends, as the tables are that table() writes."""
+    _KEPT[-1].append((spark, path))
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
@@ -84,7 +89,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _KEPT[-1].append((spark, path))
+    keep(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

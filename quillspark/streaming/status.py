@@ -8,9 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.session import keep
 
-def event_stream(spark: SparkSession, path: str, schema, files_a_trigger: int = 8) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
+
+def event_stream(spark: SparkSession, path: str, schema, files_a_trigger: int | None = 8) -> DataFrame:
+    """The files of a folder as they come; ``files_a_trigger`` None takes all that are there together."""
+    r = spark.readStream.schema(schema)
+    return (r if files_a_trigger is None else r.option("maxFilesPerTrigger", files_a_trigger)).parquet(path)
 
 
 def windowed_counts(events: DataFrame, late: str = "2 hours", size: str = "3 hours", hop: str = "90 minutes") -> DataFrame:
@@ -59,16 +63,30 @@ def runs(events: DataFrame, quiet: str | None = None) -> DataFrame:
             state.setTimeoutDuration(wait)
         yield pd.DataFrame({"user_id": [key[0]] * (len(types) - 1), "event_type": types[:-1], "n": sizes[:-1]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, RUN, "event_type string, n bigint", "append", "NoTimeout" if wait is None else "ProcessingTimeTimeout")
+    return events.select("user_id", "event_type", "ts", "event_id").groupBy("user_id").applyInPandasWithState(step, RUN, "event_type string, n bigint", "append", "NoTimeout" if wait is None else "ProcessingTimeTimeout")
+
 
+def collected(stream: DataFrame, name: str, mode: str, checkpoint: str, most_s: int | None = None) -> DataFrame:
+    """Run a stream over what is there and give its result as a table; for tests and backfills.
 
-def collected(stream: DataFrame, name: str, mode: str, checkpoint: str, most_s: int = 120) -> DataFrame:
-    """Run a stream over what is there and give its result as a table; for tests and backfills."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    if not q.awaitTermination(most_s):
+    It ends when all that is there has been read, or is stopped with an error after ``most_s`` seconds.
+    Appended rows go to files beside the checkpoint; only a result that is replaced as a whole, one
+    row per group, is held by the driver.
+    """
+    spark = stream.sparkSession
+    w = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    rows = f"{checkpoint}-rows"
+    if mode == "append":
+        keep(spark, rows)
+        q = w.format("parquet").option("compression", "zstd").start(rows)
+    else:
+        q = w.format("memory").start()
+    if most_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(most_s):
         q.stop()
         raise TimeoutError(f"{name} did not end in {most_s} s")
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(rows) if mode == "append" else spark.table(name)
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, key: str):

@@ -13,7 +13,7 @@ from quillspark.functions import skew
 from quillspark.functions import text as T
 from quillspark.operators import contracts as K
 from quillspark.operators import sequence as Q
-from quillspark.plans import corpora
+from quillspark.plans import corpora, records
 from quillspark.sources import readers
 from quillspark.streaming import status
 
@@ -101,6 +101,20 @@ def test_streamed_runs_in_order_over_batches(spark, tmp_path, tiny_batches):
     assert {u: sorted(x) for u, x in got.items()} == {u: sorted(runs_of([t for _, v, t in events if v == u])[:-1]) for u in range(3)}
 
 
+def test_streamed_runs_of_many_files_go_to_files(spark, tmp_path):
+    """Users whose rows lie in twelve files in no order of time; the result is in files, not with the driver."""
+    r = random.Random(8)
+    events = [(k, k % 5, r.choice(["x", "x", "y"]), k) for k in range(600)]
+    for n in range(12):
+        spark.createDataFrame(events[-1 - n :: -12], "event_id bigint, user_id bigint, event_type string, ts bigint").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    df = records.QUERIES["stream_runs"](spark, str(tmp_path))
+    assert df.columns == ["user_id", "event_type", "n"] and df.inputFiles()
+    got = {}
+    for x in df.collect():
+        got.setdefault(x.user_id, []).append((x.event_type, x.n))
+    assert {u: sorted(x) for u, x in got.items()} == {u: sorted(runs_of([t for _, v, t, _ in events if v == u])[:-1]) for u in range(5)}
+
+
 def test_last_runs_come_after_a_silence(spark, tmp_path):
     import time
 
